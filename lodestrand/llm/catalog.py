@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import splitting, topn
+from lodestrand.llm import mixing, splitting, tokenizing, topn
 
 QUERIES = {
     "p3_found": splitting.p3_found,
     "p3_balanced": splitting.p3_balanced,
     "p4_found": topn.p4_found,
+    "p6_ids": tokenizing.p6_ids,
+    "p7_mixture": mixing.p7_mixture,
+    "p7_shares": mixing.p7_shares,
 }
 
 ORACLES = {

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrand.session import Workspace, broadcast_if_small, plan_bytes, spread, table
+from lodestrand.session import Workspace, broadcast_if_small, spread, table
 
 ROW_GROUP = 8192  # rows of a row group: the unit of skipping
 FILES_PER_TASK = 4
