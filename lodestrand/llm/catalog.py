@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import mixing, splitting, tokenizing, topn
+from lodestrand.llm import mixing, spans, splitting, tokenizing, topn
 
 QUERIES = {
     "p3_found": splitting.p3_found,
@@ -11,6 +11,8 @@ QUERIES = {
     "p6_ids": tokenizing.p6_ids,
     "p7_mixture": mixing.p7_mixture,
     "p7_shares": mixing.p7_shares,
+    "p8_found": spans.p8_found,
+    "p8_shared": spans.p8_shared,
 }
 
 ORACLES = {
