@@ -260,7 +260,8 @@ class SharedSpans:
         shards = max(1, math.ceil(total / SHARD))
         plain = stretches if not self.any_hot else stretches.join(broadcast_if_small(self.hot), "kind", "left_anti")
         plain = plain.select("doc", "at", "text", F.pmod(F.xxhash64("kind"), F.lit(shards)).alias("shard"))
-        self.found = self.work.write(plain.groupBy("shard").applyInPandas(self._searched(), "doc bigint, other bigint, low bigint, high bigint"), "found")
+        tasks = min(shards, max(self.spark.sparkContext.defaultParallelism, shards // 4))  # a given number: shards are few rows and much work, so they must not be coalesced
+        self.found = self.work.write(plain.repartition(tasks, "shard").groupBy("shard").applyInPandas(self._searched(), "doc bigint, other bigint, low bigint, high bigint"), "found")
         self.grams = self._grams(stretches) if self.any_hot else None
 
     def _marked(self) -> DataFrame:
