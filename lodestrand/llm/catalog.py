@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import mixing, neighbours, spans, splitting, tokenizing, topn
+from lodestrand.llm import clusters, mixing, neighbours, spans, splitting, tokenizing, topn
 
 QUERIES = {
     "p1_found": neighbours.p1_found,
     "p1_neighbours": neighbours.p1_neighbours,
+    "p2_found": clusters.p2_found,
+    "p2_clusters": clusters.p2_clusters,
     "p3_found": splitting.p3_found,
     "p3_balanced": splitting.p3_balanced,
     "p4_found": topn.p4_found,
