@@ -67,15 +67,24 @@ def valid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, profile_id, vector (float32 little-endian bytes): one row for each record with a valid vector.
 
     A record with an eligible instance has that instance's payload row, valid or not; only one without has its reference
-    vector. Of several eligible instances the one of the least instance_id counts, of several reference rows the one of
-    the least profile_id and bytes. Rows and shards delivered again count once; null record ids take no part.
+    vector. Of several eligible instances the one of the least instance_id counts, of several reference rows or
+    deliveries of a shard the first in the files. Null record ids take no part.
     """
     eligible = table(spark, sf_dir, "instances").where((F.col("eligibility_status") == "eligible") & F.col("record_id").isNotNull())
     chosen = eligible.groupBy("record_id").agg(F.min(F.struct("instance_id", "profile_id", "vector_reference")).alias("i"))
     chosen = chosen.select("record_id", F.col("i.instance_id").alias("instance_id"), F.col("i.profile_id").alias("profile_id"), F.col("i.vector_reference.shard_id").alias("shard_id"), F.col("i.vector_reference.row").alias("row"), F.col("i.vector_reference.shard_digest").alias("digest"))
-    rows = shard_rows(table(spark, sf_dir, "vector_shards"))
-    held = rows.join(broadcast_if_small(chosen), ["shard_id", "digest", "profile_id", "row", "instance_id"]).select("record_id", "profile_id", "vector")
+    # deliveries are told apart by their place in the files, so that only narrow rows are compared and no payload is shuffled
+    shards = _first(table(spark, sf_dir, "vector_shards"), ["shard_id", "digest", "profile_id"])
+    held = shard_rows(shards).join(broadcast_if_small(chosen), ["shard_id", "digest", "profile_id", "row", "instance_id"]).select("record_id", "profile_id", "vector")
     # a record whose instance names no row has no vector, yet its reference vector doesn't count
-    others = reference_rows(table(spark, sf_dir, "reference_vectors").where(F.col("record_id").isNotNull())).join(broadcast_if_small(eligible.select("record_id").distinct()), "record_id", "left_anti")
-    both = held.where("vector is not null").unionByName(others.where("vector is not null"))
-    return both.groupBy("record_id").agg(F.min(F.struct("profile_id", "vector")).alias("v")).select("record_id", "v.profile_id", "v.vector")
+    references = _first(table(spark, sf_dir, "reference_vectors").where(F.col("record_id").isNotNull()), ["record_id"])
+    others = reference_rows(references).join(broadcast_if_small(eligible.select("record_id").distinct()), "record_id", "left_anti")
+    return held.where("vector is not null").unionByName(others.where("vector is not null"))
+
+
+def _first(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a Parquet table that come first among those of equal keys, by file and row number."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth"))
+    first = df.select(*keys, place.alias("place")).groupBy(*keys).agg(F.min("place").alias("place")).select("place.file", "place.nth")
+    placed = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth"))
+    return placed.join(broadcast_if_small(first), ["file", "nth"], "left_semi").drop("file", "nth")

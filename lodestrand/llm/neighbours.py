@@ -22,7 +22,7 @@ from lodestrand.llm.embeddings import valid_vectors
 from lodestrand.session import Workspace
 
 #: Rows of a shard, vectors sampled to place the centroids, most centroids, shards that a query visits.
-SHARD_ROWS, SAMPLE, CELLS, VISITS = 8192, 50_000, 4096, 3
+SHARD_ROWS, SAMPLE, CELLS, VISITS = 8192, 16_384, 4096, 3
 #: Links of a node in the base and in upper layers, beam of the search, candidates of the construction.
 LINKS, UPPER, BEAM, CANDIDATES = 24, 12, 24, 24
 
@@ -214,7 +214,7 @@ def _matrix(blobs: object) -> np.ndarray:
     """Blobs of equal length as unit rows."""
     held = list(blobs)
     v = np.frombuffer(b"".join(held), "<f4").reshape(len(held), -1)
-    return v / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64)).astype(np.float32)[:, None]
 
 
 def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0, visits: int = VISITS, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE, beam: int = BEAM) -> DataFrame:
@@ -232,10 +232,10 @@ def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0,
         return spark.createDataFrame([], "src bigint, dst bigint, sim double")
     # a little more than needed passes the hash, then the limit holds; which rows pass depends on ids alone
     share = min(1.0, 1.2 * sample / total)
-    taken = vectors.where(F.pmod(F.xxhash64(F.lit(seed).cast("long"), F.col("id")), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).select("kind", "vector").limit(sample).collect() if total > shard_rows else []
+    taken = vectors.where(F.pmod(F.xxhash64(F.lit(seed).cast("long"), F.col("id")), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).select("kind", "vector").limit(sample).toArrow().to_pydict() if total > shard_rows else {"kind": [], "vector": []}
     by_kind: dict[tuple[str, int], list[bytes]] = {}
-    for r in taken:
-        by_kind.setdefault((r["kind"], len(r["vector"])), []).append(bytes(r["vector"]))
+    for kind, vector in zip(taken["kind"], taken["vector"]):
+        by_kind.setdefault((kind, len(vector)), []).append(vector)
     placed = {}
     for i, (kind, n) in enumerate(sorted(sizes.items(), key=str)):
         cells = min(CELLS, math.ceil(n / shard_rows), max(1, len(by_kind.get(kind, [])) // 8))
