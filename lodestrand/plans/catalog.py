@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from lodestrand.operators import shredding
+from lodestrand.plans import release_queries, similarity_queries
 
-FLAGSHIP = "p5_found"
+FLAGSHIP = "sim_topk"
 
 QUERIES = {
+    **similarity_queries.QUERIES,
+    **release_queries.QUERIES,
     "p5_found": shredding.p5_found,
     "p5_artifacts": shredding.p5_artifacts,
     "p5_model": shredding.p5_model,
     "p5_validation": shredding.p5_validation,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {**similarity_queries.ORACLES, **release_queries.ORACLES}
