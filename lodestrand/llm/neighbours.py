@@ -25,6 +25,8 @@ from lodestrand.session import Workspace
 SHARD_ROWS, SAMPLE, CELLS, VISITS = 8192, 16_384, 4096, 3
 #: Links of a node in the base and in upper layers, beam of the search, candidates of the construction.
 LINKS, UPPER, BEAM, CANDIDATES = 24, 12, 24, 24
+#: Places of a beam that are followed in one step of the search.
+STEP = 4
 
 
 def _top(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,21 +164,22 @@ class Hnsw:
                 going, open_ = going[some], open_[some]
                 if not len(going):
                     break
-                # the two best places of each beam whose links aren't followed yet; beams are kept best first
-                first = open_.argmax(1)
-                rest = open_.copy()
-                rest[np.arange(len(going)), first] = False
-                second = np.where(rest.any(1), rest.argmax(1), first)
-                done[going, first] = done[going, second] = True
-                two = np.concatenate([links[ids[going, first]], links[ids[going, second]]], 1).astype(np.int64)
-                two.sort(axis=1)
-                fresh = ~seen[going[:, None], two] & (two >= 0)
-                fresh[:, 1:] &= two[:, 1:] != two[:, :-1]
-                seen[going[:, None], two] = True
+                # the best places of each beam whose links aren't followed yet; beams are kept best first
+                chosen = open_ & (np.cumsum(open_, 1) <= STEP)
+                r, c = np.nonzero(chosen)
+                done[going[r], c] = True
+                slot = np.cumsum(chosen, 1)[r, c] - 1
+                held = np.full((len(going), STEP, links.shape[1]), -1, np.int64)
+                held[r, slot] = links[ids[going[r], c]]
+                held = held.reshape(len(going), -1)
+                held.sort(axis=1)
+                fresh = ~seen[going[:, None], held] & (held >= 0)
+                fresh[:, 1:] &= held[:, 1:] != held[:, :-1]
+                seen[going[:, None], held] = True
                 r, c = np.nonzero(fresh)
                 if not len(r):
                     continue
-                sims = np.einsum("ij,ij->i", self.vectors[two[r, c]], q[going[r]])
+                sims = np.einsum("ij,ij->i", self.vectors[held[r, c]], q[going[r]])
                 worth = sims > best[going[r], -1]
                 r, c, sims = r[worth], c[worth], sims[worth]
                 if not len(r):
@@ -189,14 +192,14 @@ class Hnsw:
                 all_sims = np.full(all_ids.shape, -2, np.float32)
                 all_done = np.ones(all_ids.shape, bool)
                 all_ids[:, :beam], all_sims[:, :beam], all_done[:, :beam] = ids[who], best[who], done[who]
-                new = two[np.searchsorted(np.arange(len(going)), touched)[r], c]
+                new = held[touched[r], c]
                 all_ids[r, beam + slot], all_sims[r, beam + slot], all_done[r, beam + slot] = new, sims, False
                 order = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
                 ids[who], best[who], done[who] = (np.take_along_axis(x, order, 1) for x in (all_ids, all_sims, all_done))
         return ids, best
 
 
-def centroids(sample: np.ndarray, cells: int, seed: int, rounds: int = 3) -> np.ndarray:
+def centroids(sample: np.ndarray, cells: int, seed: int, rounds: int = 8) -> np.ndarray:
     """Unit centroids: sampled vectors moved by a few rounds of spherical k-means, so dense regions get more of them."""
     rng = np.random.default_rng(seed)
     c = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)].copy()
