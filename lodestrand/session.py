@@ -84,10 +84,17 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The optimizer's sizes of what the plan reads, added up; joins don't multiply them, and unknown sizes count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
 def spread(df: DataFrame, each: int = 128 << 20, least: int | None = None) -> int:
-    """Number of partitions of about so many bytes, at least one for each core."""
+    """Number of partitions of about so many bytes of input, at least one for each core."""
     least = df.sparkSession.sparkContext.defaultParallelism if least is None else least
-    return max(least, math.ceil(plan_bytes(df) / each))
+    return max(least, math.ceil(input_bytes(df) / each))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:

@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
+import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,14 @@ def read_artifacts(spark: SparkSession, root: str, content: bool = False) -> Dat
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     at = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     relative = F.substr(at, F.length(F.lit(prefix)) + 1)
+    found = files.select(relative.alias("path"), F.col("content"))
+    # Spark's file scans leave out empty files
+    store, name = pfs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pfs.LocalFileSystem(), os.path.abspath(root))
+    empty = [f.path[len(name.rstrip("/")) + 1 :] for f in store.get_file_info(pfs.FileSelector(name, recursive=True)) if f.type == pfs.FileType.File and f.size == 0]
+    if empty:
+        found = found.unionByName(spark.createDataFrame([(p, bytearray()) for p in empty], "path string, content binary"))
     kept = [F.col("content")] if content else []
-    return files.select(relative.alias("path"), F.col("length").alias("size"), texts.digest(F.col("content")).alias("digest"), *kept)
+    return found.select("path", F.octet_length("content").cast("bigint").alias("size"), texts.digest(F.col("content")).alias("digest"), *kept)
 
 
 def stream_digest(path: str, block: int = 1 << 20) -> str:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
@@ -76,8 +77,6 @@ def read_float32(spark: SparkSession, path: str, dimension: int, rows_per_partit
 
 def rows_of_payload(payload: str, dimension: str, row: str):
     """A column: the vector at a row number of a payload column, null if the row is negative or beyond the payload."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def cut(data: pd.Series, dim: pd.Series, at: pd.Series) -> pd.Series:
         def one(d: object, n: object, r: object) -> object:
