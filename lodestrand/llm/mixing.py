@@ -87,9 +87,8 @@ def plan(targets: pd.DataFrame, supply: dict[str, int], total: int | None, block
     if total is None:
         whole = sum(weight)
         total = min([int(out["supply"].sum()), *(int(m * whole / w) for m, w in zip(most, weight) if w > 0)])
-    capacities = [m // block if w > 0 else 0 for m, w in zip(most, weight)]
-    # a source below one block still has its documents: its capacity is one block, cut to its tokens on selection
-    capacities = [max(c, 1) if w > 0 else 0 for c, w in zip(capacities, weight)]
+    # the last block of a source may be a part of one, cut to its tokens on selection
+    capacities = [-(-m // block) if w > 0 else 0 for m, w in zip(most, weight)]
     return out.assign(blocks=sainte_lague(list(weight), capacities, round(total / block), list(out["source"])), able=able)
 
 
@@ -98,7 +97,7 @@ def _shard_quotas(block: int):
         pdf = pdf.sort_values("shard", ignore_index=True)
         repeats, quota = int(pdf["repeats"].iloc[0]), int(pdf["blocks"].iloc[0])
         tokens = pdf["tokens"].astype(int).tolist()
-        capacities = [max(t * repeats // block, 1) for t in tokens]
+        capacities = [-(-t * repeats // block) for t in tokens]
         got = sainte_lague([float(t) for t in tokens], capacities, quota, [f"{s:012d}" for s in pdf["shard"]])
         # blocks that rounding leaves over stay with the largest shard, within its repeats on selection
         return pdf.assign(quota=np.array(got, np.int64))[["source", "shard", "quota", "tokens", "repeats"]]

@@ -275,7 +275,7 @@ def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0,
         return _shard(group, k, floor, seed, beam)
 
     shards = sum(len(s) for _, _, s in placed.values())
-    tasks = max(min(shards, spark.sparkContext.defaultParallelism * 4), shards // 4)
+    tasks = 4 * shards  # shards are few rows and much work: more places than shards keep them from meeting in one task
     spread = vectors.select("id", "kind", "vector").mapInArrow(place, "shard bigint, own boolean, id bigint, vector binary")
     return spread.repartition(tasks, "shard").groupBy("shard").applyInArrow(look, "src bigint, dst bigint, sim double")
 

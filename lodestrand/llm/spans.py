@@ -319,7 +319,8 @@ class SharedSpans:
                 columns = list(zip(*rows)) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["kind", "doc", "at", "text"])
 
-        return self.texts.join(broadcast_if_small(by_doc), "doc").select("doc", "text", "kinds").mapInArrow(cut, "kind bigint, doc bigint, at bigint, text string")
+        by_doc = self.work.write(by_doc, "regions")  # else the check of its size would compute it once more
+        return self.texts.join(broadcast_if_small(by_doc, 20_000), "doc").select("doc", "text", "kinds").mapInArrow(cut, "kind bigint, doc bigint, at bigint, text string")
 
     def _searched(self):
         least = self.least
