@@ -139,13 +139,14 @@ def adjacency(df: DataFrame, key: str, body: str, keep: tuple[str, ...] = ()) ->
     out = [key, *keep]
     source = df.select(*(df[c] for c in out), df[body].alias("__body")).where(F.col("__body").isNotNull())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", " + ADJACENCY
-    width, most = len(out), 50_000
+    width, most, longest = len(out), 50_000, 8 << 20  # rows and characters of paths of a batch
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string()] * 4 + [pa.int32()] + [pa.string()] * 2
         for batch in batches:
             at: list[int] = []
             cells: list[list] = [[] for _ in range(7)]
+            size = 0
 
             def made() -> pa.RecordBatch:
                 heads = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(width)]
@@ -155,11 +156,12 @@ def adjacency(df: DataFrame, key: str, body: str, keep: tuple[str, ...] = ()) ->
             for row, text in enumerate(batch.column(width)):
                 for node in nodes(text.as_py()):
                     at.append(row)
+                    size += len(node[0])
                     for cell, value in zip(cells, node):
                         cell.append(value)
-                    if len(at) >= most:
+                    if len(at) >= most or size >= longest:
                         yield made()
-                        at, cells = [], [[] for _ in range(7)]
+                        at, cells, size = [], [[] for _ in range(7)], 0
             if at:
                 yield made()
 

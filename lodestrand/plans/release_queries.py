@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.functions import texts
 from lodestrand.operators import accounting, canonical
 from lodestrand.plans import release
-from lodestrand.session import shared_dir, table
+from lodestrand.session import Workspace, table
 from lodestrand.streaming import ingest
 
 
@@ -237,13 +235,11 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that arrived as a stream, landed exactly once and counted by kind."""
-    folder = shared_dir(spark)
-    local = tempfile.mktemp(prefix="landed-", dir="/")[1:]
-    schema = table(spark, sf_dir, "events").schema.simpleString().removeprefix("struct<").removesuffix(">")
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table(spark, sf_dir, "events").schema.fields) if schema else ""
-    stream = ingest.deliveries(spark, f"{sf_dir}/event*.parquet", ddl)
-    ingest.land(stream, f"{folder}/{local}/table", f"{folder}/{local}/checkpoint").awaitTermination()
-    return spark.read.schema(ddl).parquet(f"{folder}/{local}/table").groupBy("event_type").agg(F.count("*").alias("n"))
+    work = Workspace(spark, "landed")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table(spark, sf_dir, "events").schema.fields)
+    stream = ingest.deliveries(spark, f"{sf_dir}/event*.parquet", schema)
+    ingest.land(stream, work.path("table"), work.path("checkpoint")).awaitTermination()
+    return spark.read.schema(schema).parquet(work.path("table")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 QUERIES = {

@@ -91,6 +91,12 @@ def test_entities_link_to_the_object_around(spark):
     assert [tuple(r) for r in shredding.entity(tree, "raw_id", ".*/built", ["stage"]).collect()] == [(1, "/artifacts/0/built", "/artifacts/0", "s")]
 
 
+def test_long_paths_come_in_small_batches(spark):
+    deep = "[" * 12_000 + "{}" + "]" * 12_000
+    df = spark.createDataFrame([(1, deep)], "raw_id long, body string")
+    assert shredding.objects(shredding.adjacency(df, "raw_id", "body"), "raw_id").select("parent").collect() == [("",)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "raw_id long, body string")
     assert shredding.objects(shredding.adjacency(df, "raw_id", "body"), "raw_id").count() == 0
