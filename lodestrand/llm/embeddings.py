@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.session import broadcast_if_small, table
@@ -72,14 +72,25 @@ def valid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     eligible = table(spark, sf_dir, "instances").where((F.col("eligibility_status") == "eligible") & F.col("record_id").isNotNull())
     chosen = eligible.groupBy("record_id").agg(F.min(F.struct("instance_id", "profile_id", "vector_reference")).alias("i"))
-    chosen = chosen.select("record_id", F.col("i.instance_id").alias("instance_id"), F.col("i.profile_id").alias("profile_id"), F.col("i.vector_reference.shard_id").alias("shard_id"), F.col("i.vector_reference.row").alias("row"), F.col("i.vector_reference.shard_digest").alias("digest"))
+    # the place that an instance names, as 128 bits of hash: the side that may be broadcast stays narrow
+    ref = F.col("i.vector_reference")
+    chosen = chosen.select("record_id", *_place(ref.shard_id, ref.shard_digest, F.col("i.profile_id"), ref.row, F.col("i.instance_id")))
     # deliveries are told apart by their place in the files, so that only narrow rows are compared and no payload is shuffled
     shards = _first(table(spark, sf_dir, "vector_shards"), ["shard_id", "digest", "profile_id"])
-    held = shard_rows(shards).join(broadcast_if_small(chosen), ["shard_id", "digest", "profile_id", "row", "instance_id"]).select("record_id", "profile_id", "vector")
+    named = shard_rows(shards).where("vector is not null").select("profile_id", "vector", *_place(*(F.col(c) for c in ("shard_id", "digest", "profile_id", "row", "instance_id"))))
+    held = named.join(broadcast_if_small(chosen), ["place_a", "place_b"]).select("record_id", "profile_id", "vector")
     # a record whose instance names no row has no vector, yet its reference vector doesn't count
     references = _first(table(spark, sf_dir, "reference_vectors").where(F.col("record_id").isNotNull()), ["record_id"])
     others = reference_rows(references).join(broadcast_if_small(eligible.select("record_id").distinct()), "record_id", "left_anti")
-    return held.where("vector is not null").unionByName(others.where("vector is not null"))
+    return held.unionByName(others.where("vector is not null"))
+
+
+def _place(*parts: Column) -> tuple[Column, Column]:
+    """Two hashes of the parts, null where any is null, as null parts equal nothing."""
+    known = parts[0].isNotNull()
+    for part in parts[1:]:
+        known = known & part.isNotNull()
+    return F.when(known, F.xxhash64(*parts)).alias("place_a"), F.when(known, F.xxhash64(F.lit("b"), *parts)).alias("place_b")
 
 
 def _first(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -25,6 +25,8 @@ from lodestrand.session import Workspace
 SHARD_ROWS, SAMPLE, CELLS, VISITS = 8192, 16_384, 4096, 3
 #: Links of a node in the base and in upper layers, beam of the search, candidates of the construction.
 LINKS, UPPER, BEAM, CANDIDATES = 24, 12, 24, 24
+#: Visits and beam where all neighbours are asked for, near or not: those that are hardly similar lie in many cells.
+WIDE_VISITS, WIDE_BEAM = 6, 48
 #: Places of a beam that are followed in one step of the search.
 STEP = 4
 
@@ -300,8 +302,14 @@ def _shard(group: pa.Table, k: int, floor: float, seed: int, beam: int) -> pa.Ta
     return pa.table({"src": ids[src[good]], "dst": ids[dst[good]], "sim": exact[good]})
 
 
-def merge(found: DataFrame, k: int = 10) -> DataFrame:
-    """The shards' results as one: the k best of each src, with position from 1; equal similarities by dst."""
+def merge(found: DataFrame, k: int = 10, both_ways: bool = False) -> DataFrame:
+    """The shards' results as one: the k best of each src, with position from 1; equal similarities by dst.
+
+    both_ways: similarity is symmetric, so what one vector found is a candidate for the other too, which may have
+    visited other shards.
+    """
+    if both_ways:
+        found = found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
     once = found.groupBy("src", "dst").agg(F.max("sim").alias("sim"))
     by = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
     return once.repartition("src").withColumn("position", F.row_number().over(by)).where(F.col("position") <= k)
@@ -315,7 +323,8 @@ def numbered(vectors: DataFrame, work: Workspace) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of similarity 0.97 or more, each among the ten most similar of the other."""
     rows = numbered(valid_vectors(spark, sf_dir), Workspace(spark, "neighbours"))
-    near = merge(nearest(rows, 10, 0.97))
+    found = Workspace(spark, "found").write(nearest(rows, 10, 0.97), "near")  # read twice
+    near = merge(found, 10, both_ways=True)
     both = near.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("n")).where("n = 2")
     names = rows.select("id", "record_id")
     pairs = both.join(names.toDF("a", "name_a"), "a").join(names.toDF("b", "name_b"), "b")
@@ -326,5 +335,6 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every record with a valid vector its ten most similar records of the same profile, best first."""
     rows = numbered(valid_vectors(spark, sf_dir), Workspace(spark, "neighbours"))
     names = rows.select("id", "record_id")
-    near = merge(nearest(rows, 10))
+    found = Workspace(spark, "found").write(nearest(rows, 10, visits=WIDE_VISITS, beam=WIDE_BEAM), "near")
+    near = merge(found, 10, both_ways=True)
     return near.join(names.toDF("src", "record_id"), "src").join(names.toDF("dst", "neighbour_id"), "dst").select("record_id", "position", "neighbour_id", "sim")

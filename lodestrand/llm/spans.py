@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lodestrand.session import Workspace, broadcast_if_small, table
 
 #: Least length of a shared span, length of an anchor, characters of a shard, and of a group of stretches that still is indexed.
-LEAST, ANCHOR, SHARD, MOST, CHUNK = 160, 64, 1 << 20, 1 << 22, 1024
+LEAST, ANCHOR, SHARD, MOST, CHUNK = 160, 64, 1 << 20, 1 << 21, 1024
 _MASK = (1 << 64) - 1
 
 
@@ -260,7 +260,7 @@ class SharedSpans:
         shards = max(1, math.ceil(total / SHARD))
         plain = stretches if not self.any_hot else stretches.join(broadcast_if_small(self.hot), "kind", "left_anti")
         plain = plain.select("doc", "at", "text", F.pmod(F.xxhash64("kind"), F.lit(shards)).alias("shard"))
-        tasks = min(shards, max(self.spark.sparkContext.defaultParallelism, shards // 4))  # a given number: shards are few rows and much work, so they must not be coalesced
+        tasks = 4 * shards  # a given number: shards are few rows and much work, so they must not be coalesced nor meet in one task
         self.found = self.work.write(plain.repartition(tasks, "shard").groupBy("shard").applyInPandas(self._searched(), "doc bigint, other bigint, low bigint, high bigint"), "found")
         self.grams = self._grams(stretches) if self.any_hot else None
 
