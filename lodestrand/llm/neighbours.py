@@ -44,12 +44,13 @@ def _top(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 class Hnsw:
     """A hierarchical navigable small-world graph over unit vectors, as flat neighbour arrays, -1 where there is none."""
 
-    def __init__(self, vectors: np.ndarray, seed: int, keep: int = 10, links: int = LINKS, upper: int = UPPER) -> None:
-        self.vectors = vectors
+    def __init__(self, vectors: np.ndarray, seed: int, keep: int = 10, links: int = LINKS, upper: int = UPPER, linked: bool = True) -> None:
+        """linked: whether the graph will be searched; else only the vectors' own neighbours are found."""
+        self.vectors, self.linked = vectors, linked
         n = len(vectors)
         height = np.floor(np.random.default_rng(seed).exponential(1 / math.log(max(upper, 2)), n)).astype(int)
         self.members = [np.arange(n)]
-        while len(self.members[-1]) > 4 * links:
+        while linked and len(self.members[-1]) > 4 * links:
             above = np.flatnonzero(height >= len(self.members))
             if not 0 < len(above) < len(self.members[-1]):
                 break
@@ -72,11 +73,13 @@ class Hnsw:
             block = own[i : i + rows]
             sims = v[block] @ base.T
             sims[np.arange(len(block)), np.arange(i, i + len(block))] = -2
-            at, found = _top(sims, min(n, max(CANDIDATES, keep)))
+            at, found = _top(sims, min(n, max(CANDIDATES, keep) if self.linked else keep))
             ids = own[at]
             if level == 0:
                 k = min(keep, ids.shape[1])
                 self.near[i : i + rows, :k], self.near_sims[i : i + rows, :k] = np.where(found[:, :k] > -2, ids[:, :k], -1), found[:, :k]
+            if not self.linked:
+                continue
             parts = [(ids, found)]
             for above in self.members[level + 1 :]:  # as an incremental build would have met them: long links
                 sims = v[block] @ v[above].T
@@ -89,7 +92,8 @@ class Hnsw:
             again = np.zeros_like(found, bool)
             again[:, 1:] = (ids[:, 1:] == ids[:, :-1]) & (found[:, 1:] == found[:, :-1])
             chosen[i : i + rows], sims_of[i : i + rows] = self._diverse(ids, np.where(again, np.float32(-2), found), links)
-        self.layers[level] = self._both_ways(own, chosen, sims_of, links)
+        if self.linked:
+            self.layers[level] = self._both_ways(own, chosen, sims_of, links)
 
     def _diverse(self, ids: np.ndarray, sims: np.ndarray, links: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each row's candidates, best first, those nearer to it than to any chosen one; then the best others."""
@@ -291,7 +295,7 @@ def _shard(group: pa.Table, k: int, floor: float, seed: int, beam: int) -> pa.Ta
     n = int(own.sum())
     if not n:
         return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-    graph = Hnsw(v[:n], seed, k)
+    graph = Hnsw(v[:n], seed, k, linked=n < len(v))
     there, sims = graph.search(v[n:], k, beam)
     src = np.repeat(np.arange(len(v)), np.concatenate([np.full(n, graph.near.shape[1]), np.full(len(v) - n, there.shape[1])]))
     dst, sim = np.concatenate([graph.near.ravel(), there.ravel()]), np.concatenate([graph.near_sims.ravel(), sims.ravel()])

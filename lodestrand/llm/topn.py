@@ -95,7 +95,7 @@ def _reader(groups: list[str], n: int, columns: list[str]):
             for _, chunk in batch.groupby("chunk"):
                 opened, found = {}, []
                 for uri in chunk["path"]:
-                    fs, path = pfs.FileSystem.from_uri(uri)
+                    fs, path = pfs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
                     opened[uri] = pq.ParquetFile(fs.open_input_file(path))
                     meta = opened[uri].metadata
                     found += [_Statistics(uri, i, meta.row_group(i), groups) for i in range(meta.num_row_groups)]
