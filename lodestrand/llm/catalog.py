@@ -21,4 +21,6 @@ QUERIES = {
 
 ORACLES = {
     "p4_found": topn.P4_SQL,
+    "p8_found": spans.P8_SQL,
+    "p8_shared": spans.P8_SHARED_SQL,
 }

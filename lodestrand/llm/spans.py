@@ -385,3 +385,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document the number of its characters that stand in other documents too, in spans of the threshold or longer."""
     return SharedSpans(table(spark, sf_dir, "documents")).amounts().select(F.col("doc").alias("doc_id"), F.col("chars").alias("n_chars"), "shared_chars", F.when(F.col("chars") > 0, F.col("shared_chars") / F.col("chars")).otherwise(0.0).alias("shared_share"))
+
+
+_GRAMS = """WITH places AS (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS i FROM documents WHERE length(text) >= 160),
+grams AS (SELECT doc_id, i, substring(text, i::INT, 160) AS span FROM places),
+shared AS (SELECT span FROM grams GROUP BY span HAVING min(doc_id) <> max(doc_id))"""
+P8_SQL = f"""{_GRAMS}, own AS (SELECT DISTINCT doc_id, span FROM grams JOIN shared USING (span))
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM own a JOIN own b ON a.span = b.span AND a.doc_id < b.doc_id"""
+P8_SHARED_SQL = f"""{_GRAMS}, starts AS (SELECT doc_id, i FROM grams JOIN shared USING (span)),
+gaps AS (SELECT doc_id, least(coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 160), 160) AS n FROM starts),
+amounts AS (SELECT doc_id, sum(n)::BIGINT AS n FROM gaps GROUP BY doc_id)
+SELECT d.doc_id, coalesce(length(d.text), 0)::BIGINT AS n_chars, coalesce(a.n, 0) AS shared_chars, CASE WHEN length(d.text) > 0 THEN coalesce(a.n, 0) / length(d.text) ELSE 0.0 END::DOUBLE AS shared_share
+FROM documents d LEFT JOIN amounts a ON a.doc_id = d.doc_id"""
