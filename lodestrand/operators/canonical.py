@@ -113,3 +113,28 @@ def eligible(records: DataFrame, digests: DataFrame, canonicalization_id: str) -
 def pending(rows: DataFrame, done: DataFrame) -> DataFrame:
     """Rows that a resumed stage still has to embed: those that no finished row of the same run specification covers."""
     return rows.join(done.select("run_spec", "row"), ["run_spec", "row"], "left_anti")
+
+
+def report_rows(files: DataFrame, key: str = "accession", text: str = "report", member: str = "refseqAccession") -> DataFrame:
+    """key, contig_id and fault of the rows of JSON-lines reports (key, text): blank lines skipped.
+
+    fault: `json` for a line that is no object, `member` for a missing, empty or non-text identifier, `repeated` for one
+    that stands twice in its report, null for a good row. A report without rows gives none; reasons() then finds the
+    sequences unpaired.
+    """
+    lines = files.select(F.col(key), F.explode(F.split(F.col(text), "\r\n|\n|\r")).alias("line")).where(F.length(F.trim("line")) > 0)
+    parsed = lines.select(key, F.try_parse_json("line").alias("raw"))
+    held = F.try_variant_get("raw", f"$.{member}", "variant")
+    name = F.when(F.schema_of_variant(held) == "STRING", F.nullif(F.try_variant_get("raw", f"$.{member}", "string"), F.lit("")))
+    named = parsed.select(key, F.coalesce(F.schema_of_variant("raw").startswith("OBJECT"), F.lit(False)).alias("object"), name.alias("contig_id"))
+    times = F.count("*").over(Window.partitionBy(key, "contig_id"))
+    fault = F.when(~F.col("object"), "json").when(F.col("contig_id").isNull(), "member").when(times > 1, "repeated")
+    return named.select(key, "contig_id", fault.alias("fault"))
+
+
+def contig_lines(files: DataFrame, key: str = "accession", text: str = "canonical") -> DataFrame:
+    """key, ordinal, contig_id and bases of canonical files, a line `id TAB bases` each; fault where a line has no tab or an empty side."""
+    lines = files.select(F.col(key), F.posexplode(F.split(F.regexp_replace(F.col(text), "\n$", ""), "\n")).alias("ordinal", "line"))
+    parts = F.split("line", "\t", 2)
+    broken = F.coalesce((F.size(parts) < 2) | (F.get(parts, F.lit(0)) == "") | (F.get(parts, F.lit(1)) == "") | F.get(parts, F.lit(1)).contains("\t"), F.lit(True))
+    return lines.select(key, "ordinal", F.get(parts, F.lit(0)).alias("contig_id"), F.get(parts, F.lit(1)).alias("bases"), broken.alias("fault"))

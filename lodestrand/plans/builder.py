@@ -182,3 +182,41 @@ def canonicalise_archives(sources: DataFrame, reported: DataFrame, namespace: st
     return canonical.canonical_files(good).join(ids, "accession"), bad
 
 
+
+
+def account_archives(members: DataFrame, expected: DataFrame) -> DataFrame:
+    """Accounting of assembly reports, read from archives with read_members(), against an inventory's accessions.
+
+    A report line that is no object or has neither identifier stops it: counts would be wrong.
+    """
+    lines = members.where("member is not null").select(F.explode(F.split(F.decode("content", "UTF-8"), "\r\n|\n|\r")).alias("line")).where(F.length(F.trim("line")) > 0)
+    raw = F.try_parse_json("line")
+    observed = lines.select(F.try_variant_get(raw, "$.accession", "string").alias("accession"), F.try_variant_get(raw, "$.current_accession", "string").alias("current_accession"))
+    named = observed.select(accounting.accession(observed).alias("accession"))
+    if named.where(F.col("accession").isNull() | (F.col("accession") == "")).take(1):
+        raise StageFailed("a report row has no accession")
+    return accounting.account(expected.select("accession"), named, "accession")
+
+
+def stage_envelope(stage: str, accounted: DataFrame) -> dict:
+    """The envelope of an acquisition: counts of each kind in one pass, succeeded only if nothing is amiss."""
+    counts = accounted.agg(*(F.count_if(F.col(k)).alias(k) for k in ("registered", "missing", "unexpected", "duplicate"))).first().asDict()
+    whole = not (counts["missing"] or counts["unexpected"] or counts["duplicate"])
+    return {"stage_id": stage, "input_artifacts": [], "output_artifacts": [], "outcome": "succeeded" if whole else "failed", "verification": counts}
+
+
+def environment_faults(declared: Mapping[str, object], found: Mapping[str, object], at: str = "") -> list[str]:
+    """Paths of the leaves in which a runtime differs from an approved declaration; what isn't declared doesn't count."""
+    faults = []
+    for name, value in sorted(declared.items()):
+        here = f"{at}.{name}".lstrip(".")
+        other = found.get(name) if isinstance(found, Mapping) else None
+        faults += environment_faults(value, other if isinstance(other, Mapping) else {}, here) if isinstance(value, Mapping) else [here] * (type(value) is not type(other) or value != other)
+    return faults
+
+
+def selects_environment(build: Mapping[str, object], environment_id: str, declaration_digest: str, profile_id: str) -> bool:
+    """Whether a build manifest has one plugin, which names the declaration by its digest, and the one profile."""
+    plugins = build.get("plugins")
+    chosen = plugins[0].get("execution_environment") if isinstance(plugins, list) and len(plugins) == 1 and isinstance(plugins[0], Mapping) else None
+    return build.get("embedding_profiles") == [profile_id] and isinstance(chosen, Mapping) and (chosen.get("id"), chosen.get("declaration_digest")) == (environment_id, declaration_digest)

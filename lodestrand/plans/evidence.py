@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import platform
 from collections.abc import Iterable, Mapping
 from decimal import Decimal
 from hashlib import sha256
@@ -60,3 +63,38 @@ def compare(*replicates: DataFrame) -> tuple[bool, DataFrame, DataFrame]:
     a, b = (r.select(F.col("request_id"), *(F.col(f).alias(f"{side}_{f}") for f in ("digest", *FIELDS))) for side, r in zip("ab", replicates))
     differing = a.join(b, "request_id").where(~F.col("a_digest").eqNullSafe(F.col("b_digest")))
     return not compared.where(~F.col("agrees")).take(1), compared, accounting.diagnostics(differing, "request_id", list(FIELDS))
+
+
+class IncidentLog:
+    """An append-only log of a study: entries are numbered and chained by digest, so that none can be changed unseen."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def entries(self) -> list[dict]:
+        if not os.path.exists(self.path):
+            return []
+        with open(self.path, encoding="utf-8") as f:
+            held = [json.loads(line) for line in f]
+        before = None
+        for i, e in enumerate(held):
+            if (e["number"], e["before"]) != (i, before):
+                raise ValueError(f"entry {i} of {self.path} was changed")
+            before = evidence_digest(e)
+        return held
+
+    def append(self, kind: str, detail: object) -> dict:
+        held = self.entries()
+        entry = {"number": len(held), "before": evidence_digest(held[-1]) if held else None, "kind": kind, "detail": detail}
+        with open(self.path, "a", encoding="utf-8", newline="\n") as f:
+            f.write(evidence_json(entry) + "\n")
+        return entry
+
+
+def environment() -> dict:
+    """The runtime that a study binds its results to."""
+    import numpy
+    import pyarrow
+    import pyspark
+
+    return {"python": platform.python_version(), "os": platform.system(), "machine": platform.machine(), "pyspark": pyspark.__version__, "pyarrow": pyarrow.__version__, "numpy": numpy.__version__}

@@ -54,6 +54,7 @@ class Policy:
     lifecycle_state: str | None = "eligible"
     namespace: str | None = None  # record ids are namespace:accession:canonicalization_id
     distribution: str | None = None
+    profile: dict | None = None  # leaves that a profile declaration must have, of those that Release.profile names
 
 
 def _need(holds: bool, message: str) -> None:
@@ -197,6 +198,7 @@ def verify(spark: SparkSession, root: str, policy: Policy = Policy()) -> Release
     instances = work.write(files.read_lines(spark, at(INSTANCES), INSTANCE_FIELDS).drop("raw"), "instances")
     _check_instances(instances, records, shard, n_records)
     profile = _profile(root, by_path, shard)
+    _need(profile is None or policy.profile is None or policy.profile.items() <= profile.items(), "the profile declaration is not the expected one")
     _check_stages(actual)
     _need(not accounting.credential_faults(actual).take(1), "the package holds what looks like credentials")
     # the bytes that tables and vectors were read from must still be those that were hashed

@@ -156,3 +156,11 @@ def write_accessions(df: DataFrame, path: str, key: str = "accession") -> int:
             f.write(f"{r[key]}\n")
             n += 1
     return n
+
+
+def catalogue_digests(members: DataFrame) -> DataFrame:
+    """archive and digest of the catalogue member, from read_members(): null where it isn't the only one or no JSON object."""
+    text = F.decode("content", "UTF-8")
+    good = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+    one = members.groupBy("archive").agg(F.count("member").alias("n"), F.max(F.when(good, texts.digest(F.col("content")))).alias("digest"))
+    return one.select("archive", F.when(F.col("n") == 1, F.col("digest")).alias("digest"))

@@ -137,3 +137,42 @@ def test_contracts_are_closed():
     assert contracts.utc("2026-07-21T10:00:00+02:00") == "2026-07-21T08:00:00Z"
     with pytest.raises(contracts.ContractError):
         contracts.utc("2026-07-21T10:00:00")
+
+
+def test_reports_and_canonical_lines(spark):
+    reports = spark.createDataFrame([("a", '{"refseqAccession":"x"}\n\n{"refseqAccession":"y"}\r\n'), ("b", '{"refseqAccession":"x"}\n{"refseqAccession":"x"}\n{"refseqAccession":5}\n[]\n{')], "accession string, report string")
+    got = sorted((r["accession"], r["contig_id"] or "", r["fault"] or "") for r in canonical.report_rows(reports).collect())
+    assert got == [("a", "x", ""), ("a", "y", ""), ("b", "", "json"), ("b", "", "json"), ("b", "", "member"), ("b", "x", "repeated"), ("b", "x", "repeated")]
+    lines = canonical.contig_lines(spark.createDataFrame([("a", "c1\tAC\nc2\tN\n"), ("b", "c1\n\tA\nc\ta\tb\n")], "accession string, canonical string"))
+    assert sorted((r["accession"], r["ordinal"], r["fault"]) for r in lines.collect()) == [("a", 0, False), ("a", 1, False), ("b", 0, True), ("b", 1, True), ("b", 2, True)]
+
+
+def test_acquisition(spark, tmp_path):
+    from lodestrand.plans import builder
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("d/assembly_data_report.jsonl", '{"accession":"a1"}\n{"accession":"","current_accession":"a2"}\n{"accession":"a1"}\n{"accession":"z"}\n')
+        z.writestr("d/dataset_catalog.json", '{"x": 1}')
+    expected = spark.createDataFrame([("a1",), ("a2",), ("a3",)], "accession string")
+    accounted = builder.account_archives(files.read_members(spark, str(tmp_path), "assembly_data_report.jsonl"), expected)
+    assert builder.stage_envelope("acquire", accounted)["verification"] == {"registered": 2, "missing": 1, "unexpected": 1, "duplicate": 1}
+    digest = files.catalogue_digests(files.read_members(spark, str(tmp_path), "dataset_catalog.json")).first()["digest"]
+    assert digest == "sha256:" + hashlib.sha256(b'{"x": 1}').hexdigest()
+
+
+def test_environments_and_incidents(tmp_path):
+    from lodestrand.plans import builder, evidence
+
+    declared = {"runtime": {"python": "3.12", "threads": 1}, "kind": "k"}
+    assert builder.environment_faults(declared, declared | {"more": 1}) == []
+    assert builder.environment_faults(declared, {"runtime": {"python": "3.13", "threads": True}}) == ["kind", "runtime.python", "runtime.threads"]
+    build = {"embedding_profiles": ["p"], "plugins": [{"execution_environment": {"id": "e", "declaration_digest": "d"}}]}
+    assert builder.selects_environment(build, "e", "d", "p") and not builder.selects_environment(build | {"plugins": []}, "e", "d", "p")
+    log = evidence.IncidentLog(str(tmp_path / "log"))
+    log.append("a", {"x": 0.5})
+    log.append("b", None)
+    assert [e["kind"] for e in log.entries()] == ["a", "b"] and evidence.environment()["python"]
+    text = (tmp_path / "log").read_text().replace("0.5", "0.6")
+    (tmp_path / "log").write_text(text)
+    with pytest.raises(ValueError):
+        log.entries()
