@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.session import broadcast_if_small
+
 
 def accession(df: DataFrame) -> Column:
     """accession or, where it is null or empty, current_accession."""
@@ -44,11 +46,12 @@ def mismatch(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def duplicate_content(df: DataFrame, key: str, digest: str) -> DataFrame:
-    """Digests of several items, with their number and keys in order. Nothing is merged.
+    """digest, n and key of every item whose content stands more than once, one row each; nothing is merged.
 
-    Keys of one digest are counted before they are gathered; a digest's keys are one result row, as large as they are.
+    Counts come from partial sums and go back to the items, so no group is gathered, however often a content stands.
     """
-    return df.groupBy(digest).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("members")).where("n > 1")
+    several = df.groupBy(digest).agg(F.count("*").alias("n")).where("n > 1")
+    return df.select(digest, key).join(broadcast_if_small(several), digest).select(digest, "n", key)
 
 
 def inventory(declared: DataFrame, actual: DataFrame) -> DataFrame:

@@ -71,8 +71,7 @@ def canon_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = accounting.duplicate_content(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", texts.digest(F.col("text")).alias("digest")), "doc_id", "digest")
-    return found.select("digest", "n", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    return accounting.duplicate_content(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", texts.digest(F.col("text")).alias("digest")), "doc_id", "digest")
 
 
 def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +257,7 @@ ORACLES = {
         SELECT record_id, 'unreported' AS status FROM d WHERE record_id NOT IN (SELECT record_id FROM r) UNION ALL SELECT record_id, 'missing' FROM r WHERE record_id NOT IN (SELECT record_id FROM d)""",
     "canon_digest": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS b, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS n FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, 'sha256:' || sha256(string_agg(lpad(n::VARCHAR, 6, '0') || chr(9) || b || chr(10), '' ORDER BY n)) AS digest FROM l GROUP BY doc_id""",
-    "dup_content": "SELECT 'sha256:' || sha256(text) AS digest, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "dup_content": "SELECT 'sha256:' || sha256(text) AS digest, n, doc_id FROM (SELECT *, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 1",
     "identity": "SELECT DISTINCT accession, 'asm:' || regexp_replace(accession, '\\.[^.]*$', '') AS entity_id, 'asm:' || accession || ':asmcanon-v1' AS record_id FROM assemblies",
     "profile_windows": """WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 512)) AS start FROM documents WHERE length(text) > 0)
         SELECT doc_id, start // 512 AS window_no, start, sha256(substring(text, (start + 1)::INT, 512)) AS digest FROM s""",
