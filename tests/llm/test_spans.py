@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from conftest import duck, rows
 from pyspark.sql import functions as F
 
 from lodestrand.llm import spans
@@ -106,3 +107,9 @@ def test_real_documents(spark, small):
     pairs, amounts = brute(table, 160)
     assert {tuple(r) for r in spans.p8_found(spark, small).collect()} == pairs
     assert {r["doc_id"]: r["shared_chars"] for r in spans.p8_shared(spark, small).collect()} == amounts
+
+
+def test_queries_equal_their_sql(spark, small):
+    con = duck(small)
+    assert rows(spans.p8_found(spark, small)) == rows(con.execute(spans.P8_SQL).df())
+    assert rows(spans.p8_shared(spark, small)) == rows(con.execute(spans.P8_SHARED_SQL).df())
