@@ -1,20 +1,21 @@
 """Deeply nested JSON as flat tables: adjacency-table shredding.
 
-Each body becomes rows of an adjacency table (node, parent, owner, label, ordinal, kind, scalar). Object nodes joined
-with their scalar children and pivoted give the entity tables; `owner` keeps the link to the object around a node.
+Each body becomes rows of an adjacency table (node, parent, owner, label, ordinal, kind, scalar, member, at, up). Object
+nodes joined with their scalar children and pivoted give the entity tables, one for each kind of object; `owner` keeps
+the link to the object around a node. What is no object stands in one table of members, with its kind and its object.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ADJACENCY = "node string, parent string, owner string, label string, ordinal int, kind string, scalar string"
+ADJACENCY = "node string, parent string, owner string, label string, ordinal int, kind string, scalar string, member string, at int, up int"
 
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null))')
 
@@ -100,27 +101,31 @@ def nodes(text: str | None) -> Iterator[tuple]:
     valid, value = parse(text)
     if not valid:
         return
-    # parent: the container around; owner: the nearest object around
-    todo = [("", None, None, None, None, value)]
+    # parent: the container around; owner: the nearest object around; member: the name in owner that leads here
+    # at, up: numbers of the node and of its owner in the body, as names that hold "/" can give two nodes one path
+    todo = [("", None, None, None, None, value, None, None)]
+    at = -1
     while todo:
-        node, parent, owner, label, ordinal, value = todo.pop()
+        node, parent, owner, label, ordinal, value, member, up = todo.pop()
+        at += 1
+        place = member, at, up
         while isinstance(value, str) and not isinstance(value, Number) and value[:1] in ("{", "["):
             inner, held = parse(value)
             if not inner:
                 break
             value = held
         if isinstance(value, dict):
-            yield node, parent, owner, label, ordinal, "object", None
-            todo.extend((f"{node}/{k}", node, node, k, i, v) for i, (k, v) in reversed(list(enumerate(value.items()))))
+            yield node, parent, owner, label, ordinal, "object", None, *place
+            todo.extend((f"{node}/{k}", node, node, k, i, v, k, at) for i, (k, v) in reversed(list(enumerate(value.items()))))
         elif isinstance(value, list):
-            yield node, parent, owner, label, ordinal, "array", None
-            todo.extend((f"{node}/{i}", node, owner, str(i), i, v) for i, v in reversed(list(enumerate(value))))
+            yield node, parent, owner, label, ordinal, "array", None, *place
+            todo.extend((f"{node}/{i}", node, owner, str(i), i, v, member, up) for i, v in reversed(list(enumerate(value))))
         elif value is None:
-            yield node, parent, owner, label, ordinal, "null", None
+            yield node, parent, owner, label, ordinal, "null", None, *place
         elif isinstance(value, bool):
-            yield node, parent, owner, label, ordinal, "boolean", "true" if value else "false"
+            yield node, parent, owner, label, ordinal, "boolean", "true" if value else "false", *place
         else:
-            yield node, parent, owner, label, ordinal, "number" if isinstance(value, Number) else "string", str(value)
+            yield node, parent, owner, label, ordinal, "number" if isinstance(value, Number) else "string", str(value), *place
 
 
 def _clean(text: str | None) -> str | None:
@@ -142,16 +147,16 @@ def adjacency(df: DataFrame, key: str, body: str, keep: tuple[str, ...] = ()) ->
     width, most, longest = len(out), 50_000, 8 << 20  # rows and characters of paths of a batch
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 4 + [pa.int32()] + [pa.string()] * 2
+        kinds = [pa.string()] * 4 + [pa.int32()] + [pa.string()] * 3 + [pa.int32()] * 2
         for batch in batches:
             at: list[int] = []
-            cells: list[list] = [[] for _ in range(7)]
+            cells: list[list] = [[] for _ in kinds]
             size = 0
 
             def made() -> pa.RecordBatch:
                 heads = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(width)]
                 got = [pa.array([_clean(x) for x in c] if k == pa.string() else c, k) for c, k in zip(cells, kinds)]
-                return pa.RecordBatch.from_arrays(heads + got, names=[*out, "node", "parent", "owner", "label", "ordinal", "kind", "scalar"])
+                return pa.RecordBatch.from_arrays(heads + got, names=[*out, "node", "parent", "owner", "label", "ordinal", "kind", "scalar", "member", "at", "up"])
 
             for row, text in enumerate(batch.column(width)):
                 for node in nodes(text.as_py()):
@@ -161,7 +166,7 @@ def adjacency(df: DataFrame, key: str, body: str, keep: tuple[str, ...] = ()) ->
                         cell.append(value)
                     if len(at) >= most or size >= longest:
                         yield made()
-                        at, cells, size = [], [[] for _ in range(7)], 0
+                        at, cells, size = [], [[] for _ in kinds], 0
             if at:
                 yield made()
 
@@ -193,6 +198,54 @@ def entity(tree: DataFrame, key: str, pattern: str, members: list[str]) -> DataF
     )
 
 
+#: The entity tables by query: the member names whose objects they hold (None: the root, or objects of arrays that are
+#: the root) and the columns. Objects of any other member are in p5_others, and all scalars in p5_members.
+ENTITIES: dict[str, tuple[tuple[str | None, ...], tuple[str, ...]]] = {
+    "p5_contracts": ((None,), ("release_id", "schema_version", "state", "created_at", "base_release", "version", "lifecycle", "profile_id", "citation")),
+    "p5_artifacts": (("artifacts",), ("path", "media_type", "digest", "size", "contract_version")),
+    "p5_built": (("built.by",), ("stage",)),
+    "p5_inputs": (("inputs",), ("path", "digest")),
+    "p5_parts": (("parts",), ("offset",)),
+    "p5_holders": (("holder",), ("room",)),
+    "p5_validation": (("validation",), ("review_status",)),
+    "p5_checks": (("checks", "sub_checks"), ("check_id", "status")),
+    "p5_metrics": (("metric",), ("name", "value", "direction")),
+    "p5_evidence": (("evidence",), ("path",)),
+    "p5_spans": (("span",), ("from", "to")),
+    "p5_waivers": (("waivers",), ("reason",)),
+    "p5_approvals": (("approvals",), ("by",)),
+    "p5_approval_times": (("at",), ("day",)),
+    "p5_model": (("model",), ("artifact", "revision", "content_digest", "notes")),
+    "p5_layers": (("layers",), ("index",)),
+    "p5_heads": (("heads",), ("width",)),
+    "p5_lineage": (("lineage", "grown_from"), ("revision",)),
+}
+
+
+def _of_kind(kinds: tuple[str | None, ...]) -> Column:
+    """Whether a node's member is one of these; never null."""
+    found = F.coalesce(F.col("member").isin(*(k for k in kinds if k is not None)), F.lit(False))
+    return found | F.col("member").isNull() if None in kinds else found
+
+
+def _link() -> Column:
+    """The path of the nearest object around: "" where that is the root or there is none, null for the root itself."""
+    return F.when(F.col("node") != "", F.coalesce("owner", F.lit("")))
+
+
+def entities(tree: DataFrame, key: str, kinds: tuple[str | None, ...], columns: tuple[str, ...]) -> DataFrame:
+    """The entity table of the objects that stand in a member of these names, wherever that is, in arrays of any depth or not.
+
+    Columns: key, node, parent, kind (the member's name), then one text column for each of `columns`; null where it is absent, null or no
+    scalar. Objects meet their scalar children by (key, number), not by path, in one pass as in entity().
+    """
+    is_node = (F.col("kind") == "object") & _of_kind(kinds)
+    scalar = F.col("kind").isin("string", "number", "boolean") & F.col("label").isin(*columns) & F.coalesce(F.col("parent") == F.col("owner"), F.lit(False))
+    sides = tree.where(is_node | scalar).select(F.col(key), F.when(is_node, F.col("at")).otherwise(F.col("up")).alias("__at"), F.when(is_node, F.struct("node", _link().alias("parent"), F.col("member").alias("kind"))).alias("__object"), F.col("label").alias("__label"), F.col("scalar").alias("__scalar"))
+    child = lambda m: F.max(F.when(F.col("__object").isNull() & (F.col("__label") == m), F.col("__scalar"))).alias(m)
+    return sides.groupBy(key, "__at").agg(F.max("__object").alias("__object"), *map(child, columns)).where("__object is not null").select(key, "__object.node", "__object.parent", "__object.kind", *columns)
+
+
 def contract_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/raw_contracts.parquet")
     return adjacency(raw, "raw_id", "body", ("contract",))
@@ -203,16 +256,27 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects(contract_tree(spark, sf_dir), "raw_id")
 
 
-def p5_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The artifacts of the manifests, one row each."""
-    return entity(contract_tree(spark, sf_dir), "raw_id", r"(?:/[0-9]+)?/artifacts/[0-9]+", ["path", "media_type", "digest", "size", "contract_version"])
+def _entity_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return entities(contract_tree(spark, sf_dir), "raw_id", *ENTITIES[name])
+
+    query.__name__ = query.__qualname__ = name
+    return query
 
 
-def p5_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The models of the profiles, one row each."""
-    return entity(contract_tree(spark, sf_dir), "raw_id", r"(?:/[0-9]+)?/model", ["artifact", "revision", "content_digest", "notes"])
+def p5_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects of every member that has no entity table, one row each; their scalars are in p5_members."""
+    known = tuple(k for kinds, _ in ENTITIES.values() for k in kinds)
+    return contract_tree(spark, sf_dir).where((F.col("kind") == "object") & ~_of_kind(known)).select("raw_id", "node", _link().alias("parent"), F.col("member").alias("kind"))
+
+
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that is no object, one row each: scalars and nulls, also within arrays, and the arrays.
+
+    parent is the path of the object around, member the name in it, label the own name or place, kind the JSON type.
+    """
+    return contract_tree(spark, sf_dir).where("kind <> 'object'").select("raw_id", "node", _link().alias("parent"), "member", "label", "kind", "scalar")
 
 
-def p5_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The checks below validation, at any depth, one row each."""
-    return entity(contract_tree(spark, sf_dir), "raw_id", r"(?:/[0-9]+)?/validation(?:/.*)?", ["check_id", "status", "name", "value", "reviewer", "role"])
+#: All of a body: each object is in one of the entity tables or p5_others, all else in p5_members.
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, **{name: _entity_query(name) for name in ENTITIES}, "p5_others": p5_others, "p5_members": p5_members}

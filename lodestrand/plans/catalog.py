@@ -10,10 +10,7 @@ FLAGSHIP = "sim_topk"
 QUERIES = {
     **similarity_queries.QUERIES,
     **release_queries.QUERIES,
-    "p5_found": shredding.p5_found,
-    "p5_artifacts": shredding.p5_artifacts,
-    "p5_model": shredding.p5_model,
-    "p5_validation": shredding.p5_validation,
+    **shredding.QUERIES,
 }
 
 ORACLES: dict[str, str] = {**similarity_queries.ORACLES, **release_queries.ORACLES}

@@ -100,3 +100,53 @@ def test_long_paths_come_in_small_batches(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "raw_id long, body string")
     assert shredding.objects(shredding.adjacency(df, "raw_id", "body"), "raw_id").count() == 0
+
+
+def whole(text):
+    """Objects (path, owner, kind) with their scalar members, and scalars (path, owner, text), by plain recursion."""
+    objs, scalars = [], []
+
+    def go(v, path, owner, kind):
+        if isinstance(v, str) and v[:1] in ("{", "["):
+            try:
+                return go(json.loads(v, parse_int=str, parse_float=str), path, owner, kind)
+            except ValueError:
+                pass
+        if isinstance(v, dict):
+            objs.append((path, owner, kind, {k: x for k, x in v.items() if isinstance(x, str) and x[:1] not in ("{", "[")}))
+            for k, x in v.items():
+                go(x, f"{path}/{k}", path, k)
+        elif isinstance(v, list):
+            for i, x in enumerate(v):
+                go(x, f"{path}/{i}", owner if path else "", kind)
+        elif v is not None:
+            scalars.append((path, owner, v))
+
+    go(json.loads(text, parse_int=str, parse_float=str), "", None, None)
+    return objs, scalars
+
+
+WHOLE = [
+    {"artifacts": [{"path": "p", "size": 2, "built.by": {"stage": "s", "inputs": [{"path": "q", "digest": "d"}, ["x", {"path": "r"}]]}, "parts": [{"offset": 4, "holder": {"room": 5}}]}, "lone"], "odd": {"deep": {"z": "1"}}},
+    {"artifacts": {"0": {"path": "in a map"}, "path": "no array"}, "artifacts/0": {"path": "clash"}},
+    [{"validation": {"review_status": "ok", "checks": [{"check_id": "c", "sub_checks": [{"check_id": "e", "metric": {"value": 7}, "evidence": json.dumps([{"path": "t", "span": {"from": 1, "to": 2}}])}]}], "waivers": [{"reason": "w", "approvals": [{"by": "b", "at": {"day": 3}}]}]}}],
+    {"model": {"revision": "r", "layers": [{"index": 0, "heads": [{"width": 8}]}], "lineage": {"revision": "l", "grown_from": {"revision": "g"}}}},
+]
+
+
+def test_every_object_and_scalar_is_in_one_table(spark, tmp_path):
+    from lodestrand.plans import catalog
+
+    bodies = [json.dumps(b) for b in WHOLE]
+    spark.createDataFrame([(i, "x", b) for i, b in enumerate(bodies)], "raw_id long, contract string, body string").write.parquet(f"{tmp_path}/raw_contracts.parquet")
+    tables = {name: [r.asDict() for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()] for name in [*catalog.QUERIES] if name.startswith("p5_") and name != "p5_found"}
+    members = tables.pop("p5_members")
+    got = sorted(((r["raw_id"], r["node"], r["parent"], r["kind"]) for rows in tables.values() for r in rows), key=str)
+    held = [(i, *whole(b)) for i, b in enumerate(bodies)]
+    assert got == sorted(((i, n, p, k) for i, objs, _ in held for n, p, k, _ in objs), key=str)
+    assert sorted((r["raw_id"], r["node"], r["scalar"]) for r in members if r["scalar"] is not None) == sorted((i, n, v) for i, _, scalars in held for n, _, v in scalars)
+    # pivoted members are those of the object itself, even where two objects have one path
+    columns = lambda r: {c: v for c, v in r.items() if c not in ("raw_id", "node", "parent", "kind") and v is not None}
+    pivoted = sorted(((r["raw_id"], r["node"], columns(r)) for name, rows in tables.items() if name != "p5_others" for r in rows), key=str)
+    known = {k for kinds, _ in shredding.ENTITIES.values() for k in kinds}
+    assert pivoted == sorted(((i, n, m) for i, objs, _ in held for n, _, k, m in objs if k in known), key=str)
