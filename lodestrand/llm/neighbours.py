@@ -25,8 +25,11 @@ from lodestrand.session import Workspace
 SHARD_ROWS, SAMPLE, CELLS, VISITS = 8192, 16_384, 4096, 3
 #: Links of a node in the base and in upper layers, beam of the search, candidates of the construction.
 LINKS, UPPER, BEAM, CANDIDATES = 24, 12, 24, 24
-#: Visits and beam where all neighbours are asked for, near or not: those that are hardly similar lie in many cells.
-WIDE_VISITS, WIDE_BEAM = 6, 48
+#: Where all neighbours are asked for, near or not: those that are hardly similar lie in many cells, the more of them the
+#: more there are. Visits at least, share of the cells that is visited, rows of a shard, beam.
+WIDE_VISITS, WIDE_SHARE, WIDE_ROWS, WIDE_BEAM = 6, 0.4, 16_384, 128
+#: Vectors that may visit one shard; more are divided among copies of it.
+VISITORS = 131_072
 #: Places of a beam that are followed in one step of the search.
 STEP = 4
 
@@ -226,9 +229,11 @@ def _matrix(blobs: object) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64)).astype(np.float32)[:, None]
 
 
-def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0, visits: int = VISITS, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE, beam: int = BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0, visits: int = VISITS, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE, beam: int = BEAM, least_share: float = 0.0) -> DataFrame:
     """src, dst, sim: for every vector about its k most similar others of the same kind, found in `visits` shards.
 
+    least_share: share of a kind's cells that are visited at least, however many there are.
+
     vectors has id (bigint, unique), kind (string: vectors of one kind are of one length and compared) and vector
     (float32 little-endian bytes, valid). Similarities below floor are left out; sim is the cosine in double precision.
     An id comes out at most once for each shard and k; merge() keeps the best. Kinds of one vector give no row. Only the
@@ -253,9 +258,13 @@ def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0,
             c = centroids(own, cells, seed)
             share_of = np.bincount(np.concatenate([(own[j : j + 4096] @ c.T).argmax(1) for j in range(0, len(own), 4096)]), minlength=len(c)) / len(own)
             salts = np.maximum(1, np.ceil(share_of * n / (4 * shard_rows))).astype(np.int64)  # a cell that stays too large is cut by id
+            visited = max(visits, math.ceil(least_share * len(c)))
+            coming = np.bincount(np.concatenate([_top(own[j : j + 4096] @ c.T, visited)[0].ravel() for j in range(0, len(own), 4096)]), minlength=len(c)) / len(own)
+            copies = np.maximum(1, np.ceil(coming * n / VISITORS)).astype(np.int64)
         else:
-            c, salts = None, np.array([max(1, math.ceil(n / (4 * shard_rows)))], np.int64)
-        placed[kind] = (i, c, salts)
+            c, salts, visited = None, np.array([max(1, math.ceil(n / (4 * shard_rows)))], np.int64), 1
+            copies = np.maximum(1, np.ceil(np.where(salts > 1, n, 0) / VISITORS)).astype(np.int64)
+        placed[kind] = (i, c, salts, visited, copies)
     shared = spark.sparkContext.broadcast(placed)  # at most CELLS centroids for each kind
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,22 +274,26 @@ def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0,
             for i, (kind, blob) in enumerate(zip(kinds, blobs)):
                 groups.setdefault((kind, len(blob)), []).append(i)
             for kind, at in groups.items():
-                number, c, salts = shared.value[kind]
+                number, c, salts, visited, copies = shared.value[kind]
                 at = np.array(at)
-                near = np.zeros((len(at), 1), np.int64) if c is None else _top(_matrix([blobs[i] for i in at]) @ c.T, visits)[0]
+                near = np.zeros((len(at), 1), np.int64) if c is None else _top(_matrix([blobs[i] for i in at]) @ c.T, visited)[0]
+                place_of = ids[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)
                 salt = (ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % salts[near[:, 0]]
-                out_at, out_shard, out_own = [at], [near[:, 0] * 65536 + salt], [np.ones(len(at), bool)]
+                out_at, out_shard, out_own = [], [], []
+                for part in range(int(copies[near[:, 0]].max())):  # a shard's rows are in each of its copies
+                    held = part < copies[near[:, 0]]
+                    out_at.append(at[held]), out_shard.append(part * (1 << 28) + near[held, 0] * 65536 + salt[held]), out_own.append(np.ones(int(held.sum()), bool))
                 for j in range(near.shape[1]):
                     for s in range(int(salts[near[:, j]].max())):
                         goes = (s < salts[near[:, j]]) & ((j > 0) | (s != salt))
-                        out_at.append(at[goes]), out_shard.append(near[goes, j] * 65536 + s), out_own.append(np.zeros(int(goes.sum()), bool))
+                        out_at.append(at[goes]), out_shard.append((place_of[goes].astype(np.int64) % copies[near[goes, j]]) * (1 << 28) + near[goes, j] * 65536 + s), out_own.append(np.zeros(int(goes.sum()), bool))
                 rows = np.concatenate(out_at)
                 yield pa.RecordBatch.from_arrays([pa.array(number * (1 << 40) + np.concatenate(out_shard)), pa.array(np.concatenate(out_own)), pa.array(ids[rows]), batch.column(2).take(pa.array(rows))], names=["shard", "own", "id", "vector"])
 
     def look(key: tuple, group: pa.Table) -> pa.Table:
         return _shard(group, k, floor, seed, beam)
 
-    shards = sum(len(s) for _, _, s in placed.values())
+    shards = sum(int(copies.sum()) for *_, copies in placed.values())
     tasks = 4 * shards  # shards are few rows and much work: more places than shards keep them from meeting in one task
     spread = vectors.select("id", "kind", "vector").mapInArrow(place, "shard bigint, own boolean, id bigint, vector binary")
     return spread.repartition(tasks, "shard").groupBy("shard").applyInArrow(look, "src bigint, dst bigint, sim double")
@@ -339,6 +352,6 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every record with a valid vector its ten most similar records of the same profile, best first."""
     rows = numbered(valid_vectors(spark, sf_dir), Workspace(spark, "neighbours"))
     names = rows.select("id", "record_id")
-    found = Workspace(spark, "found").write(nearest(rows, 10, visits=WIDE_VISITS, beam=WIDE_BEAM), "near")
+    found = Workspace(spark, "found").write(nearest(rows, 10, visits=WIDE_VISITS, shard_rows=WIDE_ROWS, beam=WIDE_BEAM, least_share=WIDE_SHARE), "near")
     near = merge(found, 10, both_ways=True)
     return near.join(names.toDF("src", "record_id"), "src").join(names.toDF("dst", "neighbour_id"), "dst").select("record_id", "position", "neighbour_id", "sim")

@@ -140,3 +140,18 @@ def test_queries_on_real_vectors(spark, small):
     listed = {r["cluster_id"]: r for r in clusters.p2_clusters(spark, small).collect()}
     assert {g: len(ms) for g, ms in groups.items()} == {g: r["size"] for g, r in listed.items()}
     assert all(set(r["typical_records"]) <= set(groups[g]) and 1 <= len(r["typical_records"]) <= 3 for g, r in listed.items())
+
+
+def test_visits_grow_with_the_cells(spark, small, monkeypatch):
+    v = unit(np.random.default_rng(4).standard_normal((1600, 24)))
+    df = frame(spark, v)
+    got = lambda **x: pairs(neighbours.merge(neighbours.nearest(df, 10, shard_rows=40, visits=neighbours.WIDE_VISITS, beam=neighbours.WIDE_BEAM, **x), 10, both_ways=True))
+    wide = got(least_share=neighbours.WIDE_SHARE)
+    assert recall(got(), v, 10) < 0.9 < recall(wide, v, 10)
+    monkeypatch.setattr(neighbours, "VISITORS", 300)  # shards in copies: the same is found
+    assert got(least_share=neighbours.WIDE_SHARE) == wide
+    asked = {}
+    monkeypatch.setattr(neighbours, "nearest", lambda *a, **x: asked.update(x) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        neighbours.p1_neighbours(spark, small)
+    assert asked["least_share"] == neighbours.WIDE_SHARE
