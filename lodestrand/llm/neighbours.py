@@ -1,10 +1,10 @@
 """The most similar vectors of every vector: an HNSW graph for each shard, with shard results merged.
 
-Vectors go to the shard of the centroid nearest to them; a query also visits the shards of the next nearest centroids,
-so the work grows with the vectors, not with their square. A shard's graph is built in bulk: candidates of a vector are
-its exact neighbours in the shard and in each sparser layer, thinned by the diversity rule, with links back, all as
-flat arrays of row numbers. The search of visiting queries goes down from the sparse layer with a beam, many queries a
-step; the shard's own rows take theirs from the construction, where their neighbours were found exactly.
+Vectors go to the shard of the centroid nearest to them; a query also visits the shards of other centroids that are
+about as near, so the work grows with the vectors, not with their square. Centroids are a tree of two levels: the upper
+ones are fitted on the driver, the lower ones in tasks, one for each upper centroid. A shard's own rows are answered by
+their insertion into its graph (what they met, and what met them) or by a search of the finished graph; queries from
+other shards are searched for in it.
 """
 
 from __future__ import annotations
@@ -13,25 +13,27 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.llm.embeddings import valid_vectors
+from lodestrand.llm.hnsw import BEAM, Hnsw
 from lodestrand.session import Workspace
 
-#: Rows of a shard, vectors sampled to place the centroids, most centroids, shards that a query visits.
-SHARD_ROWS, SAMPLE, CELLS, VISITS = 8192, 16_384, 4096, 3
-#: Links of a node in the base and in upper layers, beam of the search, candidates of the construction.
-LINKS, UPPER, BEAM, CANDIDATES = 24, 12, 24, 24
+#: Rows of a shard as planned; rows from which a shard is cut by id (only where centroids can't part them).
+SHARD_ROWS, MOST_ROWS = 8192, 65_536
+#: Vectors sampled for the upper centroids and, for each lower one, in the tasks; upper centroids and all centroids at
+#: most (8 MB of 128 dimensions); kinds at most. Beyond CELLS x SHARD_ROWS vectors (134 million) shards grow instead.
+SAMPLE, LOWER_SAMPLE, UPPER_CELLS, CELLS, KINDS = 16_384, 64, 64, 16_384, 1024
+#: Shards that a query visits at most, and how much less similar than the nearest centroid theirs may be: for a partner of
+#: similarity s the difference to be expected is some sqrt(1 - s^2) / sqrt(dimension), so this is four times that at 0.97.
+VISITS, MARGIN = 3, 0.1
 #: Where all neighbours are asked for, near or not: those that are hardly similar lie in many cells, the more of them the
 #: more there are. Visits at least, share of the cells that is visited, rows of a shard, beam.
-WIDE_VISITS, WIDE_SHARE, WIDE_ROWS, WIDE_BEAM = 6, 0.4, 16_384, 128
+WIDE_VISITS, WIDE_SHARE, WIDE_ROWS, WIDE_BEAM = 6, 0.4, 16_384, 32
 #: Vectors that may visit one shard; more are divided among copies of it.
 VISITORS = 131_072
-#: Places of a beam that are followed in one step of the search.
-STEP = 4
 
 
 def _top(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,170 +46,6 @@ def _top(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(at, order, 1), np.take_along_axis(values, order, 1)
 
 
-class Hnsw:
-    """A hierarchical navigable small-world graph over unit vectors, as flat neighbour arrays, -1 where there is none."""
-
-    def __init__(self, vectors: np.ndarray, seed: int, keep: int = 10, links: int = LINKS, upper: int = UPPER, linked: bool = True) -> None:
-        """linked: whether the graph will be searched; else only the vectors' own neighbours are found."""
-        self.vectors, self.linked = vectors, linked
-        n = len(vectors)
-        height = np.floor(np.random.default_rng(seed).exponential(1 / math.log(max(upper, 2)), n)).astype(int)
-        self.members = [np.arange(n)]
-        while linked and len(self.members[-1]) > 4 * links:
-            above = np.flatnonzero(height >= len(self.members))
-            if not 0 < len(above) < len(self.members[-1]):
-                break
-            self.members.append(above)
-        self.layers = [np.zeros((0, links), np.int32)] * len(self.members)
-        self.near = self.near_sims = None
-        for level in range(len(self.members) - 1, -1, -1):
-            self._link(level, links if level == 0 else upper, keep)
-
-    def _link(self, level: int, links: int, keep: int, rows: int = 512) -> None:
-        """Links one layer; ids are row numbers of the shard in every layer."""
-        own, v = self.members[level], self.vectors
-        n = len(own)
-        chosen = np.full((n, links), -1, np.int32)
-        sims_of = np.full((n, links), -2, np.float32)
-        if level == 0:
-            self.near, self.near_sims = np.full((n, keep), -1, np.int64), np.full((n, keep), -2, np.float32)
-        base = v[own]
-        for i in range(0, n, rows):
-            block = own[i : i + rows]
-            sims = v[block] @ base.T
-            sims[np.arange(len(block)), np.arange(i, i + len(block))] = -2
-            at, found = _top(sims, min(n, max(CANDIDATES, keep) if self.linked else keep))
-            ids = own[at]
-            if level == 0:
-                k = min(keep, ids.shape[1])
-                self.near[i : i + rows, :k], self.near_sims[i : i + rows, :k] = np.where(found[:, :k] > -2, ids[:, :k], -1), found[:, :k]
-            if not self.linked:
-                continue
-            parts = [(ids, found)]
-            for above in self.members[level + 1 :]:  # as an incremental build would have met them: long links
-                sims = v[block] @ v[above].T
-                sims[block[:, None] == above] = -2
-                far, far_sims = _top(sims, 4)
-                parts.append((above[far], far_sims))
-            ids, found = (np.concatenate(x, 1) for x in zip(*parts))
-            order = np.argsort(-found, axis=1, kind="stable")
-            ids, found = np.take_along_axis(ids, order, 1), np.take_along_axis(found, order, 1)
-            again = np.zeros_like(found, bool)
-            again[:, 1:] = (ids[:, 1:] == ids[:, :-1]) & (found[:, 1:] == found[:, :-1])
-            chosen[i : i + rows], sims_of[i : i + rows] = self._diverse(ids, np.where(again, np.float32(-2), found), links)
-        if self.linked:
-            self.layers[level] = self._both_ways(own, chosen, sims_of, links)
-
-    def _diverse(self, ids: np.ndarray, sims: np.ndarray, links: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each row's candidates, best first, those nearer to it than to any chosen one; then the best others."""
-        near = self.vectors[ids]
-        among = near @ near.transpose(0, 2, 1)
-        n, c = ids.shape
-        taken, good = np.zeros((n, c), bool), sims > -2
-        for j in range(c):
-            shaded = ((among[:, j, :] > sims[:, j, None]) & taken).any(1)
-            taken[:, j] = good[:, j] & ~shaded & (taken.sum(1) < links // 2)
-        order = np.argsort(np.where(taken, 0, np.where(good, 1, 2)), axis=1, kind="stable")[:, :links]
-        out = np.full((n, links), -1, np.int32)
-        out_sims = np.full((n, links), -2, np.float32)
-        k = order.shape[1]
-        ok = np.take_along_axis(good, order, 1)
-        out[:, :k] = np.where(ok, np.take_along_axis(ids, order, 1), -1)
-        out_sims[:, :k] = np.where(ok, np.take_along_axis(sims, order, 1), -2)
-        out[:, links * 3 // 4 :] = -1  # room for links back
-        return out, out_sims
-
-    def _both_ways(self, own: np.ndarray, chosen: np.ndarray, sims: np.ndarray, links: int) -> np.ndarray:
-        """Adds links back where there is room, the most similar first."""
-        n = len(self.vectors)
-        place = np.full(n, -1)
-        place[own] = np.arange(len(own))
-        source, slot = np.nonzero(chosen >= 0)
-        target = place[chosen[source, slot]]
-        order = np.lexsort((-sims[source, slot], target))
-        source, target = source[order], target[order]
-        key = target.astype(np.int64) * len(own) + source
-        have = np.sort(place[chosen[np.nonzero(chosen >= 0)]] + np.nonzero(chosen >= 0)[0].astype(np.int64) * len(own))
-        at = np.minimum(np.searchsorted(have, key), max(len(have) - 1, 0))
-        new = have[at] != key if len(have) else np.zeros(0, bool)
-        source, target = source[new], target[new]
-        used = (chosen >= 0).sum(1)
-        first = np.searchsorted(target, target)
-        slot = used[target] + np.arange(len(target)) - first
-        fits = slot < links
-        out = chosen.copy()
-        out[target[fits], slot[fits]] = own[source[fits]]
-        if len(own) == n:
-            return out
-        whole = np.full((n, links), -1, np.int32)
-        whole[own] = out
-        return whole
-
-    def search(self, queries: np.ndarray, k: int, beam: int = BEAM, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and similarities of about the k most similar vectors of each query, best first, -1 where fewer are."""
-        parts = [self._search(queries[i : i + rows], max(k, beam)) for i in range(0, len(queries), rows)]
-        ids, sims = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros((0, k), np.int64), np.zeros((0, k), np.float32))
-        return ids[:, :k], sims[:, :k]
-
-    def _search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        m, n, row = len(q), len(self.vectors), np.arange(len(q))[:, None]
-        entry = self.members[min(1, len(self.members) - 1)]
-        if len(entry) > 8192:  # the layer is too large to be scanned: go down to it from the layers above
-            entry = self.members[-1]
-        at, sims = _top(q @ self.vectors[entry].T, min(len(entry), max(4, beam // 3)))
-        ids = np.full((m, beam), -1, np.int64)
-        best = np.full((m, beam), -2, np.float32)
-        k = min(beam, at.shape[1])
-        ids[:, :k], best[:, :k] = entry[at[:, :k]], sims[:, :k]
-        seen = np.zeros((m, n + 1), bool)  # the last column stands for -1
-        start_level = 0 if entry is self.members[min(1, len(self.members) - 1)] else len(self.members) - 1
-        for level in range(start_level, -1, -1):
-            links = self.layers[level]
-            seen[:] = False
-            seen[row, ids] = True
-            done = ids < 0
-            going = np.arange(m)
-            while len(going):
-                open_ = ~done[going]
-                some = open_.any(1)
-                going, open_ = going[some], open_[some]
-                if not len(going):
-                    break
-                # the best places of each beam whose links aren't followed yet; beams are kept best first
-                chosen = open_ & (np.cumsum(open_, 1) <= STEP)
-                r, c = np.nonzero(chosen)
-                done[going[r], c] = True
-                slot = np.cumsum(chosen, 1)[r, c] - 1
-                held = np.full((len(going), STEP, links.shape[1]), -1, np.int64)
-                held[r, slot] = links[ids[going[r], c]]
-                held = held.reshape(len(going), -1)
-                held.sort(axis=1)
-                fresh = ~seen[going[:, None], held] & (held >= 0)
-                fresh[:, 1:] &= held[:, 1:] != held[:, :-1]
-                seen[going[:, None], held] = True
-                r, c = np.nonzero(fresh)
-                if not len(r):
-                    continue
-                sims = np.einsum("ij,ij->i", self.vectors[held[r, c]], q[going[r]])
-                worth = sims > best[going[r], -1]
-                r, c, sims = r[worth], c[worth], sims[worth]
-                if not len(r):
-                    continue
-                touched, r = np.unique(r, return_inverse=True)
-                width = np.bincount(r)
-                slot = np.arange(len(r)) - np.repeat(np.cumsum(width) - width, width)
-                who = going[touched]
-                all_ids = np.full((len(who), beam + int(width.max())), -1, np.int64)
-                all_sims = np.full(all_ids.shape, -2, np.float32)
-                all_done = np.ones(all_ids.shape, bool)
-                all_ids[:, :beam], all_sims[:, :beam], all_done[:, :beam] = ids[who], best[who], done[who]
-                new = held[touched[r], c]
-                all_ids[r, beam + slot], all_sims[r, beam + slot], all_done[r, beam + slot] = new, sims, False
-                order = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
-                ids[who], best[who], done[who] = (np.take_along_axis(x, order, 1) for x in (all_ids, all_sims, all_done))
-        return ids, best
-
-
 def centroids(sample: np.ndarray, cells: int, seed: int, rounds: int = 8) -> np.ndarray:
     """Unit centroids: sampled vectors moved by a few rounds of spherical k-means, so dense regions get more of them."""
     rng = np.random.default_rng(seed)
@@ -222,17 +60,114 @@ def centroids(sample: np.ndarray, cells: int, seed: int, rounds: int = 8) -> np.
     return c
 
 
-def _matrix(blobs: object) -> np.ndarray:
+def _matrix(blobs: pa.Array) -> np.ndarray:
     """Blobs of equal length as unit rows."""
-    held = list(blobs)
-    v = np.frombuffer(b"".join(held), "<f4").reshape(len(held), -1)
+    blobs = blobs.combine_chunks() if isinstance(blobs, pa.ChunkedArray) else blobs
+    offsets = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4)
+    v = np.frombuffer(blobs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<f4").reshape(len(blobs), -1)
     return v / np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64)).astype(np.float32)[:, None]
 
 
-def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0, visits: int = VISITS, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE, beam: int = BEAM, least_share: float = 0.0) -> DataFrame:
-    """src, dst, sim: for every vector about its k most similar others of the same kind, found in `visits` shards.
+class Tree:
+    """The centroids of one kind: the cells, and for many of them upper centroids that lead to them."""
+
+    REACH = 4  # upper centroids whose cells are looked at, for each one that would do if the tree were exact
+
+    def __init__(self, upper: np.ndarray | None, cells: np.ndarray, of: np.ndarray | None) -> None:
+        self.upper, self.cells, self.of = upper, cells, of  # of: the upper centroid of each cell, ascending
+
+    def near(self, v: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest cells of each vector and their similarities, nearest first, -1 where the tree gave fewer."""
+        if self.upper is None:
+            parts = [_top(v[i : i + 4096] @ self.cells.T, visits) for i in range(0, len(v), 4096)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        k = min(visits, len(self.cells))
+        out, sims = np.full((len(v), k), -1, np.int64), np.full((len(v), k), -2, np.float32)
+        bounds = np.searchsorted(self.of, np.arange(len(self.upper) + 1))
+        share = k / len(self.cells)
+        ways = np.concatenate([_top(v[i : i + 4096] @ self.upper.T, max(self.REACH, math.ceil(2 * share * len(self.upper))))[0] for i in range(0, len(v), 4096)])
+        for u in np.unique(ways):
+            rows, (a, b) = np.flatnonzero((ways == u).any(1)), bounds[u : u + 2]
+            if a == b:
+                continue
+            at, found = _top(v[rows] @ self.cells[a:b].T, k)
+            at, found = np.concatenate([out[rows], at + a], 1), np.concatenate([sims[rows], found], 1)
+            order = np.argsort(-found, axis=1, kind="stable")[:, :k]
+            out[rows], sims[rows] = np.take_along_axis(at, order, 1), np.take_along_axis(found, order, 1)
+        return out, sims
+
+
+def _hashed(seed: int, share: float) -> F.Column:
+    """Whether a row is in a sample of this share; it depends on its id alone."""
+    return F.pmod(F.xxhash64(F.lit(seed).cast("long"), F.col("id")), F.lit(1 << 30)) < F.lit(math.ceil(min(1.0, share) * (1 << 30)))
 
-    least_share: share of a kind's cells that are visited at least, however many there are.
+
+def trees(vectors: DataFrame, sizes: dict[tuple[str, int], int], seed: int, shard_rows: int, sample: int) -> dict[tuple[str, int], Tree | None]:
+    """The centroids of each kind and length, None where one cell is enough.
+
+    The driver gets `sample` vectors of all kinds at most, and CELLS centroids at most. Where a kind has more than
+    UPPER_CELLS cells, LOWER_SAMPLE vectors for each are gathered by upper centroid, and each group is parted in its task.
+    """
+    total = sum(sizes.values())
+    wanted = {kind: min(math.ceil(n / shard_rows), max(1, CELLS * n // total)) for kind, n in sizes.items()}
+    found: dict[tuple[str, int], Tree | None] = dict.fromkeys(sizes)
+    if max(wanted.values(), default=1) == 1:
+        return found
+    taken = vectors.where(_hashed(seed, 1.2 * sample / total)).select("kind", "vector").limit(sample).toArrow()
+    kinds, lengths = np.array(taken.column("kind").to_pylist(), object), np.array([len(x.as_buffer()) for x in taken.column("vector")], np.int64)
+    deep = {}
+    for kind, cells in wanted.items():
+        at = np.flatnonzero((kinds == kind[0]) & (lengths == kind[1]))
+        upper = min(cells if cells <= UPPER_CELLS else max(UPPER_CELLS, math.isqrt(cells)), len(at) // 8)
+        if upper > 1:
+            c = centroids(_matrix(taken.column("vector").take(pa.array(at))), upper, seed)
+            if cells > UPPER_CELLS:
+                deep[kind] = c
+            else:
+                found[kind] = Tree(None, c, None)
+    if deep:
+        numbers = {kind: i for i, kind in enumerate(sorted(deep, key=str))}
+        shared = vectors.sparkSession.sparkContext.broadcast((deep, numbers))  # at most isqrt(CELLS) for each kind, KINDS kinds
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            deep, numbers = shared.value
+            for batch in batches:
+                for kind, rows in _by_kind(batch).items():
+                    if kind in deep:
+                        blobs = batch.column(1).take(pa.array(rows))
+                        yield pa.RecordBatch.from_arrays([pa.array(numbers[kind] * CELLS + (_matrix(blobs) @ deep[kind].T).argmax(1)), blobs], names=["upper", "vector"])
+
+        def part(key: tuple, group: pa.Table) -> pa.Table:
+            v = _matrix(group.column("vector"))
+            c = centroids(v, math.ceil(len(v) / LOWER_SAMPLE), seed)
+            return pa.table({"upper": pa.array(np.full(len(c), key[0].as_py()), pa.int64()), "vector": pa.array([x.tobytes() for x in c.astype("<f4")], pa.binary())})
+
+        share = LOWER_SAMPLE * sum(wanted[k] for k in deep) / sum(sizes[k] for k in deep)
+        lower = vectors.where(_hashed(seed + 1, share)).select("kind", "vector").mapInArrow(own, "upper bigint, vector binary").groupBy("upper").applyInArrow(part, "upper bigint, vector binary").toArrow()
+        uppers = lower.column("upper").to_numpy()
+        for kind, i in numbers.items():
+            at = np.flatnonzero(uppers // CELLS == i)
+            at = at[np.argsort(uppers[at], kind="stable")]
+            found[kind] = Tree(deep[kind], _matrix(lower.column("vector").take(pa.array(at))), uppers[at] % CELLS)
+    return found
+
+
+def _by_kind(batch: pa.RecordBatch) -> dict[tuple[str, int], np.ndarray]:
+    """Rows of a batch by kind and length of the vector; columns kind and vector."""
+    kinds = batch.column("kind").dictionary_encode()
+    blobs = batch.column("vector")
+    lengths = np.diff(np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4)).astype(np.int64)
+    code = kinds.indices.fill_null(len(kinds.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64) << 32 | lengths
+    names = [*kinds.dictionary.to_pylist(), None]
+    return {(names[c >> 32], int(c & 0xFFFFFFFF)): np.flatnonzero(code == c) for c in np.unique(code).tolist()}
+
+
+def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0, visits: int = VISITS, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE, beam: int = BEAM, least_share: float = 0.0, margin: float = MARGIN, again: bool = False, hubs: bool = False) -> DataFrame:
+    """src, dst, sim: for every vector about its k most similar others of the same kind, found in up to `visits` shards.
+
+    least_share: share of a kind's cells that are visited at least, however many there are, whatever the margin. again:
+    a shard's own rows are searched for in the finished graph, not only met on insertion. hubs: each own row comes with
+    up to two nodes of the graph's upper layers that reach the floor too, beside its k best.
 
     vectors has id (bigint, unique), kind (string: vectors of one kind are of one length and compared) and vector
     (float32 little-endian bytes, valid). Similarities below floor are left out; sim is the cosine in double precision.
@@ -240,80 +175,108 @@ def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0,
     centroids are fitted on a sample, of a bounded size; every row is indexed and searched for.
     """
     spark = vectors.sparkSession
-    sizes = {(r["kind"], r["bytes"]): r["n"] for r in vectors.groupBy("kind", F.octet_length("vector").alias("bytes")).agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    if not total:
+    found = vectors.groupBy("kind", F.octet_length("vector").alias("bytes")).agg(F.count("*").alias("n")).limit(KINDS + 1).collect()
+    if len(found) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds of vectors")
+    sizes = {(r["kind"], r["bytes"]): r["n"] for r in found}
+    if not sizes:
         return spark.createDataFrame([], "src bigint, dst bigint, sim double")
-    # a little more than needed passes the hash, then the limit holds; which rows pass depends on ids alone
-    share = min(1.0, 1.2 * sample / total)
-    taken = vectors.where(F.pmod(F.xxhash64(F.lit(seed).cast("long"), F.col("id")), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).select("kind", "vector").limit(sample).toArrow().to_pydict() if total > shard_rows else {"kind": [], "vector": []}
-    by_kind: dict[tuple[str, int], list[bytes]] = {}
-    for kind, vector in zip(taken["kind"], taken["vector"]):
-        by_kind.setdefault((kind, len(vector)), []).append(vector)
-    placed = {}
-    for i, (kind, n) in enumerate(sorted(sizes.items(), key=str)):
-        cells = min(CELLS, math.ceil(n / shard_rows), max(1, len(by_kind.get(kind, [])) // 8))
-        if cells > 1:
-            own = _matrix(by_kind[kind])
-            c = centroids(own, cells, seed)
-            share_of = np.bincount(np.concatenate([(own[j : j + 4096] @ c.T).argmax(1) for j in range(0, len(own), 4096)]), minlength=len(c)) / len(own)
-            salts = np.maximum(1, np.ceil(share_of * n / (4 * shard_rows))).astype(np.int64)  # a cell that stays too large is cut by id
-            visited = max(visits, math.ceil(least_share * len(c)))
-            coming = np.bincount(np.concatenate([_top(own[j : j + 4096] @ c.T, visited)[0].ravel() for j in range(0, len(own), 4096)]), minlength=len(c)) / len(own)
-            copies = np.maximum(1, np.ceil(coming * n / VISITORS)).astype(np.int64)
-        else:
-            c, salts, visited = None, np.array([max(1, math.ceil(n / (4 * shard_rows)))], np.int64), 1
-            copies = np.maximum(1, np.ceil(np.where(salts > 1, n, 0) / VISITORS)).astype(np.int64)
-        placed[kind] = (i, c, salts, visited, copies)
-    shared = spark.sparkContext.broadcast(placed)  # at most CELLS centroids for each kind
+    grown = trees(vectors, sizes, seed, shard_rows, sample)
+    # how many rows each cell has and how many visit it, so that cells that stay too large are cut by id and those that many visit are copied
+    numbers = {kind: i for i, kind in enumerate(sorted(sizes, key=str))}
+    plans = {kind: (numbers[kind], tree, 1 if tree is None else max(visits, math.ceil(least_share * len(tree.cells)))) for kind, tree in grown.items()}
+    shared = spark.sparkContext.broadcast(plans)  # at most CELLS centroids in all
+
+    def visited(kind: tuple[str, int], blobs: pa.Array) -> tuple[int, np.ndarray]:
+        number, tree, most = shared.value[kind]
+        if tree is None:
+            return number, np.zeros((len(blobs), 1), np.int64)
+        near, sims = tree.near(_matrix(blobs), most)
+        sure = math.ceil(least_share * len(tree.cells))
+        near[:, max(1, sure) :][(sims < sims[:, :1] - margin)[:, max(1, sure) :]] = -1
+        return number, near
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, rows in _by_kind(batch).items():
+                number, near = visited(kind, batch.column("vector").take(pa.array(rows)))
+                own = np.zeros(near.shape, bool)
+                own[:, 0] = True
+                cells, n = np.unique((number << 33 | near << 1 | own)[near >= 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], names=["cell", "n"])
+
+    many = [kind for kind, tree in grown.items() if tree is not None or sizes[kind] > MOST_ROWS]
+    counts: dict[int, int] = {}
+    if many:
+        # of a bounded share of the rows: sizes of shards only have to be about right
+        share = min(1.0, 64 * SAMPLE / sum(sizes.values()))
+        for r in vectors.where(_hashed(seed + 2, share)).select("kind", "vector").mapInArrow(counted, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            counts[r["cell"]] = math.ceil(r["n"] / share)
+    parted = {}
+    for kind, (number, tree, _) in plans.items():
+        cells = 1 if tree is None else len(tree.cells)
+        own = np.array([counts.get(number << 33 | c << 1 | 1, 0) for c in range(cells)])
+        coming = np.array([counts.get(number << 33 | c << 1, 0) for c in range(cells)])
+        salts = np.maximum(1, -(-own // MOST_ROWS))
+        coming = coming + np.where(salts > 1, own, 0)
+        parted[kind] = salts, np.maximum(1, -(-coming // VISITORS))
+    sent = spark.sparkContext.broadcast(parted)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, kinds, blobs = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            groups: dict[tuple, list[int]] = {}
-            for i, (kind, blob) in enumerate(zip(kinds, blobs)):
-                groups.setdefault((kind, len(blob)), []).append(i)
-            for kind, at in groups.items():
-                number, c, salts, visited, copies = shared.value[kind]
-                at = np.array(at)
-                near = np.zeros((len(at), 1), np.int64) if c is None else _top(_matrix([blobs[i] for i in at]) @ c.T, visited)[0]
-                place_of = ids[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)
-                salt = (ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % salts[near[:, 0]]
-                out_at, out_shard, out_own = [], [], []
-                for part in range(int(copies[near[:, 0]].max())):  # a shard's rows are in each of its copies
-                    held = part < copies[near[:, 0]]
-                    out_at.append(at[held]), out_shard.append(part * (1 << 28) + near[held, 0] * 65536 + salt[held]), out_own.append(np.ones(int(held.sum()), bool))
+            all_ids = batch.column("id").to_numpy()
+            for kind, at in _by_kind(batch).items():
+                number, near = visited(kind, batch.column("vector").take(pa.array(at)))
+                salts, copies = sent.value[kind]
+                ids = all_ids[at].astype(np.uint64)
+                salt = (ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                turn = (ids * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)).astype(np.int64)
+                rows, shards, owns = [], [], []
                 for j in range(near.shape[1]):
-                    for s in range(int(salts[near[:, j]].max())):
-                        goes = (s < salts[near[:, j]]) & ((j > 0) | (s != salt))
-                        out_at.append(at[goes]), out_shard.append((place_of[goes].astype(np.int64) % copies[near[goes, j]]) * (1 << 28) + near[goes, j] * 65536 + s), out_own.append(np.zeros(int(goes.sum()), bool))
-                rows = np.concatenate(out_at)
-                yield pa.RecordBatch.from_arrays([pa.array(number * (1 << 40) + np.concatenate(out_shard)), pa.array(np.concatenate(out_own)), pa.array(ids[rows]), batch.column(2).take(pa.array(rows))], names=["shard", "own", "id", "vector"])
+                    there = np.flatnonzero(near[:, j] >= 0)
+                    cell = near[there, j]
+                    for s in range(int(salts[cell].max(initial=0))):
+                        own = (j == 0) & (salt[there] % salts[cell] == s)
+                        for c in range(int(copies[cell].max(initial=0))):  # a shard's rows are in each of its copies
+                            goes = (s < salts[cell]) & (c < copies[cell]) & (own | (turn[there] % copies[cell] == c))
+                            rows.append(at[there[goes]]), shards.append((c << 44 | s << 32) + (cell[goes] << 10 | number)), owns.append(own[goes])
+                rows = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards)), pa.array(np.concatenate(owns)), batch.column("id").take(rows), batch.column("vector").take(rows)], names=["shard", "own", "id", "vector"])
 
     def look(key: tuple, group: pa.Table) -> pa.Table:
-        return _shard(group, k, floor, seed, beam)
+        return _shard(group, k, floor, seed, beam, again, hubs, key[0].as_py() >> 44 == 0)
 
-    shards = sum(int(copies.sum()) for *_, copies in placed.values())
+    shards = sum(int((salts * copies).sum()) for salts, copies in parted.values())
     tasks = 4 * shards  # shards are few rows and much work: more places than shards keep them from meeting in one task
     spread = vectors.select("id", "kind", "vector").mapInArrow(place, "shard bigint, own boolean, id bigint, vector binary")
     return spread.repartition(tasks, "shard").groupBy("shard").applyInArrow(look, "src bigint, dst bigint, sim double")
 
 
-def _shard(group: pa.Table, k: int, floor: float, seed: int, beam: int) -> pa.Table:
+def _shard(group: pa.Table, k: int, floor: float, seed: int, beam: int, again: bool, hubs: bool, first: bool) -> pa.Table:
+    """What a shard's graph answers; its own rows are answered in the first of its copies only."""
     own = group.column("own").to_numpy()
     ids = group.column("id").to_numpy()
     order = np.lexsort((ids, ~own))  # the graph doesn't depend on the order of arrival
     own, ids = own[order], ids[order]
-    v = _matrix(group.column("vector").take(pa.array(order)).to_pylist())
+    v = _matrix(group.column("vector").take(pa.array(order)))
     n = int(own.sum())
-    if not n:
+    if not n or (n == len(v) == 1):
         return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-    graph = Hnsw(v[:n], seed, k, linked=n < len(v))
-    there, sims = graph.search(v[n:], k, beam)
-    src = np.repeat(np.arange(len(v)), np.concatenate([np.full(n, graph.near.shape[1]), np.full(len(v) - n, there.shape[1])]))
-    dst, sim = np.concatenate([graph.near.ravel(), there.ravel()]), np.concatenate([graph.near_sims.ravel(), sims.ravel()])
-    good = (dst >= 0) & (sim >= floor - 1e-4)
-    src, dst = src[good], dst[good]
+    graph = Hnsw(v[:n], seed, k)
+    parts = []
+    if first:
+        src, dst, _ = graph.met()
+        parts.append((src, dst))
+        if again:
+            there, _ = graph.search(v[:n], k + 1, beam)
+            parts.append((np.repeat(np.arange(n), k + 1), there.ravel()))
+        if hubs:
+            there, _ = graph.hubs(floor)
+            parts.append((np.repeat(np.arange(n), 2), there.ravel()))
+    there, _ = graph.search(v[n:], k, beam)
+    parts.append((np.repeat(np.arange(n, len(v)), k), there.ravel()))
+    pair = np.unique(np.concatenate([src[dst >= 0] * n + dst[dst >= 0] for src, dst in parts]))
+    src, dst = pair // n, pair % n
     exact = np.concatenate([np.einsum("ij,ij->i", v[src[i : i + 65536]].astype(np.float64), v[dst[i : i + 65536]].astype(np.float64)) for i in range(0, len(src), 65536)]) if len(src) else np.zeros(0)
     good = (exact >= floor) & (ids[src] != ids[dst])
     return pa.table({"src": ids[src[good]], "dst": ids[dst[good]], "sim": exact[good]})
@@ -352,6 +315,27 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every record with a valid vector its ten most similar records of the same profile, best first."""
     rows = numbered(valid_vectors(spark, sf_dir), Workspace(spark, "neighbours"))
     names = rows.select("id", "record_id")
-    found = Workspace(spark, "found").write(nearest(rows, 10, visits=WIDE_VISITS, shard_rows=WIDE_ROWS, beam=WIDE_BEAM, least_share=WIDE_SHARE), "near")
+    found = Workspace(spark, "found").write(nearest(rows, 10, visits=WIDE_VISITS, shard_rows=WIDE_ROWS, beam=WIDE_BEAM, least_share=WIDE_SHARE, margin=2.0, again=True), "near")
     near = merge(found, 10, both_ways=True)
     return near.join(names.toDF("src", "record_id"), "src").join(names.toDF("dst", "neighbour_id"), "dst").select("record_id", "position", "neighbour_id", "sim")
+
+
+#: The valid vectors in SQL: payload rows as lists of doubles, decoded from the bits of their float32 numbers.
+VECTORS_SQL = """
+once AS (SELECT shard_id, digest, profile_id, any_value(dimension) AS dimension, any_value(hex(payload)) AS bytes, any_value(row_mapping) AS mapping FROM vector_shards WHERE dtype = 'float32le' AND dimension > 0 GROUP BY 1, 2, 3),
+named AS (SELECT shard_id, digest, profile_id, dimension, bytes, unnest(map_entries(mapping)) AS e FROM once),
+held AS (SELECT * EXCLUDE (e), CAST(e.key AS BIGINT) AS nth, e.value AS instance_id FROM named WHERE regexp_full_match(e.key, '[0-9]+') AND (CAST(e.key AS BIGINT) + 1) * dimension * 8 <= length(bytes)),
+chosen AS (SELECT record_id, min(instance_id) AS instance_id FROM instances WHERE eligibility_status = 'eligible' AND record_id IS NOT NULL GROUP BY 1),
+placed AS (SELECT DISTINCT c.record_id, i.profile_id, i.vector_reference.shard_id AS shard_id, i.vector_reference.shard_digest AS digest, i.vector_reference.row AS nth, instance_id FROM chosen c JOIN instances i USING (record_id, instance_id) WHERE i.eligibility_status = 'eligible'),
+words AS (SELECT p.record_id, p.profile_id, list_transform(range(dimension), lambda j: substr(bytes, ((h.nth * dimension + j) * 8 + 1)::INT, 8)) AS w FROM placed p JOIN held h USING (shard_id, digest, profile_id, nth, instance_id)),
+bits AS (SELECT record_id, profile_id, list_transform(w, lambda x: CAST('0x' || x[7:8] || x[5:6] || x[3:4] || x[1:2] AS BIGINT)) AS b FROM words),
+payload_vectors AS (SELECT record_id, profile_id, list_transform(b, lambda x: CASE WHEN (x >> 23) & 255 = 255 THEN 'nan'::DOUBLE
+    ELSE (1 - 2 * (x >> 31)) * pow(2.0, greatest((x >> 23) & 255, 1) - 127) * ((CASE WHEN (x >> 23) & 255 > 0 THEN 1 ELSE 0 END) + (x & 8388607) / 8388608.0) END) AS v FROM bits),
+reference_once AS (SELECT record_id, any_value(profile_id) AS profile_id, any_value(vector)::DOUBLE[] AS v FROM reference_vectors WHERE record_id IS NOT NULL AND record_id NOT IN (SELECT record_id FROM chosen) GROUP BY 1),
+valid AS (SELECT record_id, profile_id, v, sqrt(list_dot_product(v, v)) AS norm FROM (SELECT * FROM payload_vectors UNION ALL SELECT * FROM reference_once)
+    WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND abs(sqrt(list_dot_product(v, v)) - 1) <= 1e-5)"""
+P1_SQL = f"""WITH {VECTORS_SQL},
+pairs AS (SELECT a.record_id AS x, b.record_id AS y, list_dot_product(a.v, b.v) / (a.norm * b.norm) AS sim FROM valid a JOIN valid b ON a.profile_id = b.profile_id AND a.record_id <> b.record_id AND len(a.v) = len(b.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY sim DESC, y) AS nth FROM pairs),
+near AS (SELECT x, y FROM ranked WHERE nth <= 10 AND sim >= 0.97)
+SELECT a.x AS record_a, a.y AS record_b FROM near a JOIN near b ON a.x = b.y AND a.y = b.x WHERE a.x < a.y"""
