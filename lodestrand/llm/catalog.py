@@ -21,6 +21,7 @@ QUERIES = {
 
 ORACLES = {
     "p1_found": neighbours.P1_SQL,
+    "p2_found": clusters.P2_SQL,
     "p4_found": topn.P4_SQL,
     "p8_found": spans.P8_SQL,
     "p8_shared": spans.P8_SHARED_SQL,

@@ -116,45 +116,46 @@ class Hnsw:
             out[g], out_sims[g] = self._best(ids, sims, k)
         return out, out_sims
 
-    def _down(self, queries: np.ndarray, to: int, met=None) -> tuple[np.ndarray, list[np.ndarray]]:  # noqa: ANN001
+    def _down(self, queries: np.ndarray, to: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Where the queries stand once they have passed all layers above `to`, and the keys of that place."""
         near = np.full((len(queries), 3), self.entry)
         keys = [near[:, 0]]
         for level in range(self.top, to, -1):
             held, near = near, np.empty_like(near)
             for g, ids, sims in self._passes(queries, held, keys, level, PASSING):
-                near[g], values = self._best(ids, sims, 3)
-                if met is not None:
-                    met(level, g, near[g], values)
+                near[g], _ = self._best(ids, sims, 3)
             keys = [near[:, 0], *keys][:3]
         return near, keys
 
     def hubs(self, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each row up to two nodes of similarity floor or more in the highest layer that has any, with similarities.
+        """src, dst: for each row the node of the highest layer among all that it met, or that met it, at floor or more.
 
-        Rows near to each other thus name the same nodes; -1 where only the base layer has any. A row can be its own hub.
+        Of several in that layer the least number counts, so rows near to each other name the same node; rows that are
+        such a node themselves name none. Upper layers are sparse, hence many rows share one hub.
         """
-        n = len(self.vectors)
-        out, out_sims = np.full((n, 2), -1, np.int64), np.full((n, 2), -2, np.float32)
-
-        def met(level: int, g: np.ndarray, near: np.ndarray, values: np.ndarray) -> None:
-            fresh = (out[g, 0] < 0)[:, None] & (values[:, :2] >= floor)
-            out[g], out_sims[g] = np.where(fresh, near[:, :2], out[g]), np.where(fresh, values[:, :2], out_sims[g])
-
-        if self.entry >= 0:
-            self._down(self.vectors, 0, met)
-        return out, out_sims
-
-    def met(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """src, dst, sim: for each row the best `keep` of what its insertion met and of those whose insertion met it."""
+        src, dst, sim = self._links_met()
+        near = sim >= floor
+        src, dst = src[near], dst[near]
+        order = np.lexsort((dst, -self.height[dst], src))
+        src, dst = src[order], dst[order]
+        first = np.concatenate([[True], src[1:] != src[:-1]]) if len(src) else np.zeros(0, bool)
+        src, dst = src[first], dst[first]
+        up = (self.height[dst] > self.height[src]) | ((self.height[dst] == self.height[src]) & (dst < src))
+        return src[up], dst[up]
+
+    def _links_met(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, width = self.near.shape
         src, dst, sim = np.repeat(np.arange(n), width), self.near.ravel(), self.near_sims.ravel()
         there = dst >= 0
         src, dst, sim = src[there], dst[there], sim[there]
-        src, dst, sim = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([sim, sim])
+        return np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([sim, sim])
+
+    def met(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """src, dst, sim: for each row the best `keep` of what its insertion met and of those whose insertion met it."""
+        src, dst, sim = self._links_met()
         order = np.lexsort((dst, -sim, src))
         src, dst, sim = src[order], dst[order], sim[order]
-        _, once = np.unique(src * max(n, 1) + dst, return_index=True)
+        _, once = np.unique(src * max(len(self.near), 1) + dst, return_index=True)
         once.sort()
         src, dst, sim = src[once], dst[once], sim[once]
         kept = np.arange(len(src)) - np.searchsorted(src, src) < self.keep

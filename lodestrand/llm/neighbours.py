@@ -167,7 +167,7 @@ def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0,
 
     least_share: share of a kind's cells that are visited at least, however many there are, whatever the margin. again:
     a shard's own rows are searched for in the finished graph, not only met on insertion. hubs: each own row comes with
-    up to two nodes of the graph's upper layers that reach the floor too, beside its k best.
+    the node of the graph's highest layer that it met and that reaches the floor, beside its k best.
 
     vectors has id (bigint, unique), kind (string: vectors of one kind are of one length and compared) and vector
     (float32 little-endian bytes, valid). Similarities below floor are left out; sim is the cosine in double precision.
@@ -271,8 +271,7 @@ def _shard(group: pa.Table, k: int, floor: float, seed: int, beam: int, again: b
             there, _ = graph.search(v[:n], k + 1, beam)
             parts.append((np.repeat(np.arange(n), k + 1), there.ravel()))
         if hubs:
-            there, _ = graph.hubs(floor)
-            parts.append((np.repeat(np.arange(n), 2), there.ravel()))
+            parts.append(graph.hubs(floor))
     there, _ = graph.search(v[n:], k, beam)
     parts.append((np.repeat(np.arange(n, len(v)), k), there.ravel()))
     pair = np.unique(np.concatenate([src[dst >= 0] * n + dst[dst >= 0] for src, dst in parts]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
@@ -97,10 +98,10 @@ def test_insertion_meets_near_pairs():
 
 def test_hubs_are_shared_by_a_group():
     v, own = grouped(8, 150, seed=7)
-    hubs, sims = hnsw.Hnsw(v, 3).hubs(0.75)
-    assert ((sims >= 0.75) == (hubs >= 0)).all()
-    for g in set(own.tolist()):
-        assert len(set(hubs[own == g].ravel().tolist()) - {-1}) <= 25
+    graph = hnsw.Hnsw(v, 3)
+    src, dst = graph.hubs(0.75)
+    assert (own[src] == own[dst]).all() and (graph.height[dst] >= graph.height[src]).all() and len(set(src.tolist())) == len(src)
+    assert len(src) > 0.9 * len(v) and len(set(dst.tolist())) < len(v) / 4
 
 
 def test_copies_of_one_vector_stay_linked():
@@ -164,10 +165,9 @@ def test_floor_is_exact(spark):
     assert got <= {(0, 1), (1, 0)}
 
 
-@pytest.mark.parametrize("parts", [{}, {"SHARD": 64, "SHARD_LATER": 128}])
-def test_clusters_of_near_vectors(spark, monkeypatch, parts):
-    for name, value in parts.items():
-        monkeypatch.setattr(clusters, name, value)
+@pytest.mark.parametrize("rows_of", [8192, 64])
+def test_clusters_of_near_vectors(spark, monkeypatch, rows_of):
+    monkeypatch.setattr(clusters, "nearest", functools.partial(neighbours.nearest, shard_rows=rows_of, sample=600))
     v, own = grouped(25, 14, seed=2)
     v = np.concatenate([v, np.repeat(v[:1], 60, 0)])
     own = np.concatenate([own, np.repeat(own[:1], 60)])
@@ -179,7 +179,7 @@ def test_clusters_of_near_vectors(spark, monkeypatch, parts):
 def test_markov_separates_loosely_linked_groups(spark):
     edges = [(a, b, 0.9) for g in (range(5), range(5, 10)) for a in g for b in g if a != b] + [(4, 5, 0.1), (5, 4, 0.1)]
     df = spark.createDataFrame(edges, "src long, dst long, sim double")
-    labels = {r["node"]: r["label"] for r in clusters.markov(df, Workspace(spark, "t"), "m", rounds=8).collect()}
+    labels = {r["node"]: r["label"] for r in clusters.markov(df, Workspace(spark, "t"), "m")[0].collect()}
     assert len({labels[i] for i in range(5)}) == 1 == len({labels[i] for i in range(5, 10)}) and labels[0] != labels[9]
 
 
@@ -230,3 +230,31 @@ def test_visits_grow_with_the_cells(spark, small, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         neighbours.p1_neighbours(spark, small)
     assert asked["least_share"] == neighbours.WIDE_SHARE
+
+
+def test_markov_ends_or_says_so(spark):
+    chain = [(a, b, 0.9) for a in range(40) for b in (a - 1, a + 1) if 0 <= b < 40]
+    df = spark.createDataFrame(chain, "src long, dst long, sim double")
+    labels = {r["node"]: r["label"] for r in clusters.markov(df, Workspace(spark, "t"), "m")[0].collect()}
+    assert len(labels) == 40 and all(labels[x] == x for x in labels.values())
+    with pytest.raises(RuntimeError):
+        clusters.markov(df, Workspace(spark, "t"), "m", rounds=1)
+
+
+def test_roots_of_long_paths_and_circles(spark):
+    to = {0: 5, 5: 9, 9: 5, **{i: i - 1 for i in range(11, 60)}, 10: 10}
+    df = spark.createDataFrame(list(to.items()), "node long, to long")
+    got = {r["node"]: r["label"] for r in clusters._roots(df, Workspace(spark, "t"), "r").collect()}
+    assert got == {0: 5, 5: 5, 9: 5, **dict.fromkeys(range(10, 60), 10)}
+
+
+def test_p2_equals_its_sql(spark, small):
+    assert rows(clusters.p2_found(spark, small)) == rows(duck(small).execute(clusters.P2_SQL).df())
+
+
+def test_typical_records_have_the_strongest_flow(spark):
+    v, own = grouped(6, 30, seed=3)
+    got = clusters.cluster(frame(spark, v), Workspace(spark, "t"), 0.75, with_flow=True).toPandas().set_index("id")
+    for g in set(own.tolist()):
+        part = got.loc[np.flatnonzero(own == g)]
+        assert part["mass"].max() == (len(part) if len(part) > 1 else 0) and part["mass"].idxmax() in set(part["cluster"]) | {part.index[0]}
