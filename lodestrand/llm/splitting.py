@@ -3,8 +3,8 @@
 Boundaries have a strength: a line feed is the strongest, then the end of a run of ambiguous bases, then any place. Two
 placements share them:
 
-- balanced: the least piece count for the limit, equal-length targets, each snapped to the strongest boundary near it; a
-  piece is added when any piece breaks the limit;
+- balanced: the least piece count for the limit, equal-length targets, each snapped to the strongest boundary near it; the
+  rest's targets are placed anew after each cut, with a piece more where the rest would break the limit;
 - full: targets as far as the limit allows, each snapped back to the last of the strongest boundaries in reach. This is
   the rule that p3_found prescribes.
 
@@ -53,33 +53,27 @@ def full(data: bytes, limit: int = LIMIT, overlap: int = OVERLAP, gap: int = GAP
 def balanced(data: bytes, limit: int = LIMIT, overlap: int = OVERLAP, gap: int = GAP) -> list[tuple[int, int]]:
     """Pieces of about equal length, each at most limit bytes, cut at the strongest boundary near its target.
 
-    Near is within a quarter of the target length. A count that can't keep the limit is raised by one until it can; with
-    as many pieces as the slack needs, targets alone keep it, so the search ends.
+    Near is within a quarter of the target length. From each cut on, the rest has the least piece count that keeps the
+    limit and equal targets anew, so a piece is added as soon as a cut before its target leaves too much for the count so
+    far. One pass: the time is linear in the pieces, and no piece can break the limit.
     """
-    size = len(data)
-    if size <= limit:
-        return [(0, size)]
-    kinds = boundaries(data, gap)
-    count = -(-(size - overlap) // (limit - overlap))
-    while True:
-        step = (size - overlap) / count
-        cuts = [0]
-        for i in range(1, count):
-            target = round(i * step + overlap)
-            low, high = max(cuts[-1] + overlap + 1 if len(cuts) > 1 else overlap + 1, target - int(step / 4)), min(target + int(step / 4), (cuts[-1] - overlap if len(cuts) > 1 else 0) + limit, size - 1)
-            cut = min(target, high)
-            for at in kinds:
-                a, b = np.searchsorted(at, [low, high + 1])
-                if a < b:
-                    near = at[a:b]
-                    cut = int(near[np.abs(near - target).argmin()])
-                    break
-            cuts.append(cut)
-        starts = [0, *(c - overlap for c in cuts[1:])]
-        ends = [*cuts[1:], size]
-        if all(0 < e - s <= limit for s, e in zip(starts, ends)) and all(b > a for a, b in zip(ends, ends[1:])):
-            return list(zip(starts, ends))
-        count += 1
+    kinds, size, start, pieces = boundaries(data, gap), len(data), 0, []
+    while size - start > limit:
+        count = -(-(size - start - overlap) // (limit - overlap))
+        step = (size - start - overlap) / count
+        target = start + min(round(step) + overlap, limit)
+        low, high = max(start + overlap + 1, target - int(step / 4)), min(target + int(step / 4), start + limit)
+        cut = target
+        for at in kinds:
+            a, b = np.searchsorted(at, [low, high + 1])
+            if a < b:
+                near = at[a:b]
+                cut = int(near[np.abs(near - target).argmin()])
+                break
+        pieces.append((start, cut))
+        start = cut - overlap
+    pieces.append((start, size))
+    return pieces
 
 
 PLACEMENTS = {"full": full, "balanced": balanced}

@@ -73,3 +73,18 @@ def test_empty_table(spark):
 def test_queries_cover_all_long_items(spark, small, query):
     long = spark.read.parquet(f"{small}/assemblies.parquet").where("octet_length(canonical_bytes) > 6000").select("canonical_path").distinct()
     assert sorted(r[0] for r in query(spark, small).select("canonical_path").distinct().collect()) == sorted(r[0] for r in long.collect())
+
+
+def test_balanced_pieces_of_a_huge_item_take_linear_time():
+    import time
+
+    def took(n):
+        data = (b"ACGTTGCA" * 375 + b"\n") * n
+        began = time.process_time()
+        pieces = splitting.balanced(data)
+        assert max(e - s for s, e in pieces) <= 6000 and pieces[-1][1] == len(data)
+        return time.process_time() - began
+
+    took(100)
+    small, large = took(3_500), took(35_000)  # 10 MB and 105 MB
+    assert large < 25 * small + 2
