@@ -1,9 +1,10 @@
 """Top N items within every group by statistics-guided skipping.
 
-The rows are laid out once as Parquet files clustered by group and, within a group, by rank, with small row groups. The
-footers' statistics then say what a row group can still give: row groups are read in descending maximum score, and one
-that holds a single group whose N-th best is already better is skipped unread. A hot group spreads over many files,
-because files are cut by (group, score, tie), so no task holds more than a share of it.
+The rows of groups of more than N are laid out once as Parquet files clustered by group: groups of about equal size lie
+together, a hot one is spread over files by its items, and a file's row groups are in descending score. A row group is
+skipped if its greatest score, from the footer, is strictly below the N-th best so far of every group that it holds.
+Which groups those are is read from its group columns alone, which are small; scores, ties and items stay unread. Groups
+of up to N rows need no ranking and pass by.
 """
 
 from __future__ import annotations
@@ -18,77 +19,26 @@ from pyspark.sql import functions as F
 
 from lodestrand.session import Workspace, broadcast_if_small, spread, table
 
-ROW_GROUP = 8192  # rows of a row group: the unit of skipping
+#: Rows of a row group, the unit of skipping, and rows of a group from which it is spread over files.
+ROW_GROUP, HOT = 8192, 1_000_000
 FILES_PER_TASK = 4
 
 
-def _bound(value: object) -> object:
-    return value.decode() if isinstance(value, bytes) else value
+def _best(frame: pd.DataFrame, n: int) -> pd.DataFrame:
+    """The n best distinct items of each group code: by score, then tie (null first), then item (null last)."""
+    frame = frame.assign(known=frame["tie"].notna()).sort_values(["code", "score", "known", "tie", "item"], ascending=[True, False, True, True, True], kind="stable")
+    frame = frame[~frame.duplicated(["code", "item"])]
+    return frame[frame.groupby("code").cumcount() < n].drop(columns="known")
 
 
-class _Statistics:
-    """Of one row group: the only group it holds or None, the best score, and the least tie key."""
-
-    def __init__(self, path: str, index: int, meta: object, groups: list[str]) -> None:
-        self.path, self.index, self.rows = path, index, meta.num_rows
-        columns = {meta.column(i).path_in_schema: meta.column(i).statistics for i in range(meta.num_columns)}
-        self.only: tuple | None = tuple(self._single(columns[g]) for g in groups)
-        if any(x is NotImplemented for x in self.only):
-            self.only = None
-        s, t = columns["score"], columns["tie"]
-        self.best = s.max if s is not None and s.has_min_max else math.inf
-        self.worst = s.min if s is not None and s.has_min_max else -math.inf
-        self.tie = _bound(t.min) if t is not None and t.has_min_max and t.null_count == 0 else None
-
-    def _single(self, s: object) -> object:
-        """The column's only value; NotImplemented if it has several or that isn't known."""
-        if s is None or s.null_count is None:
-            return NotImplemented
-        if s.null_count == self.rows:
-            return None
-        return _bound(s.min) if s.has_min_max and s.null_count == 0 and s.min == s.max else NotImplemented
-
-
-class _Best:
-    """The N best (score, tie, item) of one group that spans row groups."""
-
-    def __init__(self, n: int) -> None:
-        self.n, self.rows, self.items = n, [], set()
-
-    def add(self, score: float, tie: object, item: object) -> None:
-        if item not in self.items:
-            self.items.add(item)
-            self.rows.append((-score, tie is not None, tie or "", item))
-            self.rows.sort(key=lambda r: r[:3] + (r[3] is not None, r[3]))
-            if len(self.rows) > self.n:
-                self.items.discard(self.rows.pop()[3])
-
-    def beats(self, s: _Statistics) -> bool:
-        """Whether no row of the row group can come in: all are strictly worse than the N-th by score, or by tie where all scores equal it."""
-        if len(self.rows) < self.n:
-            return False
-        score, known, tie, _ = self.rows[-1]
-        return s.best < -score or (s.best == s.worst == -score and s.tie is not None and known and s.tie > tie)
-
-
-def _reader(groups: list[str], n: int, columns: list[str]):
+def _reader(groups: list[str], n: int, columns: list[str], seen: list | None = None):
+    """seen: gets (row groups, row groups read) of each chunk of files, for tests."""
     import pyarrow.fs as pfs
     import pyarrow.parquet as pq
 
-    def heads(frame: pd.DataFrame, single: bool) -> pd.DataFrame:
-        """The first N distinct items of each group in a sorted row group. Deliveries of an item are neighbours."""
-        if single and len(frame) > 4 * n:
-            frame = frame.iloc[: 4 * n] if frame["item"].iloc[: 4 * n].nunique() >= n else frame
-        change = np.zeros(len(frame), bool)
-        change[:1] = True
-        for g in groups:
-            v = frame[g]
-            old = v.shift()
-            change |= ((v != old) & ~(v.isna() & old.isna())).to_numpy()
-        run = np.cumsum(change)
-        frame = frame.assign(__run=run)
-        frame = frame[~frame.duplicated(["__run", "item"])]
-        return frame[frame.groupby("__run").cumcount() < n].drop(columns="__run")
+    def greatest(meta: object) -> float:
+        s = next(meta.column(i).statistics for i in range(meta.num_columns) if meta.column(i).path_in_schema == "score")
+        return s.max if s is not None and s.has_min_max else math.inf
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -98,36 +48,42 @@ def _reader(groups: list[str], n: int, columns: list[str]):
                     fs, path = pfs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
                     opened[uri] = pq.ParquetFile(fs.open_input_file(path))
                     meta = opened[uri].metadata
-                    found += [_Statistics(uri, i, meta.row_group(i), groups) for i in range(meta.num_row_groups)]
-                found.sort(key=lambda s: -s.best)
-                best = {s.only: _Best(n) for s in found if s.only is not None}
-                rest, held = [], 0
-                for s in found:
-                    if s.only is not None and best[s.only].beats(s):
-                        continue
-                    frame = heads(opened[s.path].read_row_group(s.index, columns=columns).to_pandas(), s.only is not None)
-                    if s.only is not None:
-                        for row in frame[["score", "tie", "item"]].itertuples(index=False):
-                            best[s.only].add(*row)
+                    found += [(greatest(meta.row_group(i)), uri, i) for i in range(meta.num_row_groups)]
+                found.sort(key=lambda x: -x[0])
+                codes: dict[tuple, int] = {}
+                bound = np.zeros(0)  # of each group the N-th best score so far, -inf while there are fewer
+                best, reads = None, 0
+                for most, uri, i in found:
+                    held = opened[uri].read_row_group(i, columns=groups).to_pandas()
+                    once = held.drop_duplicates()
+                    plain = once.astype(object).where(once.notna(), None)
+                    once = once.assign(code=[codes.setdefault(k, len(codes)) for k in zip(*(plain[g] for g in groups))])
+                    code = held.merge(once, on=groups, how="left")["code"].to_numpy(np.int64)  # nulls meet nulls
+                    bound = np.concatenate([bound, np.full(len(codes) - len(bound), -np.inf)])
+                    if len(code) and (bound[code] > most).all():
                         continue
-                    rest.append(frame)
-                    held += len(frame)
-                    if held > 500_000:
-                        yield pd.concat(rest)[columns]
-                        rest, held = [], 0
-                own = [(*g, -r[0], r[2] if r[1] else None, r[3]) for g, b in best.items() for r in b.rows]
-                if own:
-                    rest.append(pd.DataFrame(own, columns=[*groups, "score", "tie", "item"])[columns])
-                if rest:
-                    yield pd.concat(rest)[columns]
+                    reads += 1
+                    rest = opened[uri].read_row_group(i, columns=["score", "tie", "item"]).to_pandas().assign(code=code)
+                    rest = rest[rest["score"].to_numpy() >= bound[code]]
+                    best = _best(rest if best is None else pd.concat([best, rest]), n)
+                    last = best.groupby("code")["score"].agg(["size", "min"])
+                    full = last[last["size"] >= n]
+                    bound[full.index.to_numpy()] = full["min"].to_numpy()
+                if seen is not None:
+                    seen.append((len(found), reads))
+                if best is not None:
+                    names = list(codes)
+                    yield best.assign(**{g: pd.Series([names[c][j] for c in best["code"]], index=best.index, dtype=object) for j, g in enumerate(groups)})[columns]
 
     return read
 
 
 def clustered(df: DataFrame, work: Workspace, groups: list[str], row_group: int = ROW_GROUP) -> list[str]:
-    """Writes df, with columns groups, score, tie and item, as files clustered by group and rank; gives their paths in order."""
-    order = [*groups, F.desc("score"), "tie", "item"]
-    laid = df.repartitionByRange(spread(df), *order).sortWithinPartitions(*order)
+    """Writes df, with columns groups, rows (how many the group has), score, tie and item, as files clustered by group; gives their paths."""
+    tier = F.floor(F.log2("rows")).cast("int")
+    part = F.pmod(F.xxhash64("item", "tie", "score"), F.greatest(F.ceil(F.col("rows") / HOT), F.lit(1)))
+    placed = df.withColumn("tier", tier).withColumn("place", F.xxhash64(*groups, part))
+    laid = placed.repartitionByRange(spread(df), "tier", "place").sortWithinPartitions(F.desc("score")).select(*groups, "score", "tie", "item")
     laid.write.option("parquet.block.row.count.limit", str(row_group)).parquet(work.path("clustered"))
     return sorted(df.sparkSession.read.schema(laid.schema).parquet(work.path("clustered")).inputFiles())
 
@@ -140,8 +96,7 @@ def top_n(df: DataFrame, groups: list[str], score: Column, tie: str, item: str,
     tie comes first. An item delivered more than once in a group counts once, with its best row. Groups with fewer
     items come out whole; an empty table gives no row. For lowest first, give the negated score.
 
-    One shuffle of the narrow rows (the layout), none of whole groups: the second shuffle has at most n rows of each
-    group and file.
+    The rows are shuffled once, to the layout; counts of groups and at most n rows of each group and file besides.
     """
     spark = df.sparkSession
     names = [f"g{i}" for i in range(len(groups))]
@@ -149,16 +104,25 @@ def top_n(df: DataFrame, groups: list[str], score: Column, tie: str, item: str,
     rows = df.select(*(df[g].alias(x) for g, x in zip(groups, names)), value.alias("score"), df[tie].alias("tie"), df[item].alias("item"))
     rows = rows.where(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf")))
     work = Workspace(spark, "topn")
-    paths = clustered(rows, work, names, row_group)
+    sizes = work.write(rows.groupBy(*names).agg(F.count("*").alias("rows")), "sizes")
+    same = None
+    large = sizes.select(*(F.col(x).alias(f"{x}_") for x in names), "rows").where(F.col("rows") > n)
+    for x in names:
+        same = rows[x].eqNullSafe(large[f"{x}_"]) if same is None else same & rows[x].eqNullSafe(large[f"{x}_"])
     columns = [*names, "score", "tie", "item"]
-    if not paths:
-        candidates = rows
-    else:
-        chunks = spark.createDataFrame([(i // FILES_PER_TASK if len(paths) > 64 else i, p) for i, p in enumerate(paths)], "chunk long, path string")
-        tasks = len({i // FILES_PER_TASK if len(paths) > 64 else i for i in range(len(paths))})
-        candidates = chunks.repartitionByRange(tasks, "chunk").mapInPandas(_reader(names, n, columns), rows.schema)
+    paths = clustered(rows.join(broadcast_if_small(large), same).select(*columns, "rows"), work, names, row_group)
+    few = sizes.select(*(F.col(x).alias(f"{x}_") for x in names), "rows").where(F.col("rows") <= n)
+    same = None
+    for x in names:
+        same = rows[x].eqNullSafe(few[f"{x}_"]) if same is None else same & rows[x].eqNullSafe(few[f"{x}_"])
+    candidates = rows.join(broadcast_if_small(few), same, "left_semi").select(*columns)
+    if paths:
+        chunk = lambda i: i // FILES_PER_TASK if len(paths) > 64 else i
+        chunks = spark.createDataFrame([(chunk(i), p) for i, p in enumerate(paths)], "chunk long, path string")
+        read = chunks.repartitionByRange(chunk(len(paths) - 1) + 1, "chunk").mapInPandas(_reader(names, n, columns), rows.schema)
+        candidates = candidates.unionByName(read)
     by = Window.partitionBy(*names)
-    # one exchange by group serves both steps. An item can come from two files only if its deliveries differ; the best one counts
+    # one exchange by group serves both steps. An item can come from two files if it was delivered twice; the best one counts
     best = candidates.repartition(*names).groupBy(*names, "item").agg(F.min(F.struct((-F.col("score")).alias("down"), "tie")).alias("b")).select(*names, "item", (-F.col("b.down")).alias("score"), F.col("b.tie").alias("tie"))
     ranked = best.withColumn("position", F.row_number().over(by.orderBy(F.desc("score"), "tie", "item"))).where(F.col("position") <= n)
     return ranked.select(*(F.col(x).alias(g) for g, x in zip(groups, names)), F.col("item").alias(item), F.col("tie").alias(tie), "score", "position")

@@ -62,24 +62,44 @@ def test_empty_table(spark):
     assert found(spark, [], 3) == []
 
 
-def test_only_better_row_groups_are_read(spark, tmp_path):
-    """Of a hot group laid out over many row groups, the first one of each file is read."""
-    import pyarrow.parquet as pq
+def skipped(df, row_group, n=10):
+    """Row groups, those read, and the best items of a table with g0, rows, score, tie and item, through the layout."""
+    import pandas as pd
 
     from lodestrand.session import Workspace
 
-    df = spark.range(20_000).select(F.lit("g").alias("g0"), F.rand(1).alias("score"), F.col("id").cast("string").alias("tie"), F.col("id").alias("item"))
-    paths = topn.clustered(df, Workspace(spark, "t"), ["g0"], 500)
-    reads = []
-    old = pq.ParquetFile.read_row_group
-    pq.ParquetFile.read_row_group = lambda self, i, **k: reads.append(i) or old(self, i, **k)
-    try:
-        import pandas as pd
-
-        out = pd.concat(topn._reader(["g0"], 10, ["g0", "score", "tie", "item"])(iter([pd.DataFrame({"chunk": 0, "path": paths})])))
-    finally:
-        pq.ParquetFile.read_row_group = old
-    assert len(out) == 10 and len(reads) == 1 and sum(pq.ParquetFile(p.removeprefix("file://")).metadata.num_row_groups for p in paths) >= 40
+    paths, seen = topn.clustered(df, Workspace(df.sparkSession, "t"), ["g0"], row_group), []
+    read = topn._reader(["g0"], n, ["g0", "score", "tie", "item"], seen)
+    out = pd.concat(read(iter([pd.DataFrame({"chunk": range(len(paths)), "path": paths})])))
+    return sum(a for a, _ in seen), sum(b for _, b in seen), out
+
+
+def test_only_better_row_groups_are_read(spark):
+    """Of a hot group laid out over many row groups, the first one of each file is read."""
+    df = spark.range(20_000).select(F.lit("g").alias("g0"), F.lit(20_000).cast("bigint").alias("rows"), F.rand(1).alias("score"), F.col("id").cast("string").alias("tie"), F.col("id").alias("item"))
+    there, reads, out = skipped(df, 500)
+    assert len(out) == 10 and reads == 1 and there >= 40
+
+
+def test_row_groups_of_several_groups_are_skipped(spark):
+    """Groups of a few hundred rows share row groups; one is skipped once it can't better any of them."""
+    rows = spark.range(40_000).select((F.col("id") % 80).cast("string").alias("g0"), F.lit(500).cast("bigint").alias("rows"), F.rand(2).alias("score"), F.col("id").cast("string").alias("tie"), F.col("id").alias("item"))
+    there, reads, out = skipped(rows, 500)
+    assert len(out) == 800 and there >= 70 and reads < there / 3
+
+
+def test_row_groups_of_the_planted_table_are_skipped(spark):
+    import os
+
+    import pytest
+
+    if not os.path.isdir("/root/testdata/sf0.1"):
+        pytest.skip("no test data")
+    table = spark.read.parquet("/root/testdata/sf0.1/comparisons.parquet").where("score is not null and not isnan(score) and abs(score) < double('inf')")
+    rows = table.select(F.concat_ws("|", "query_record_id", "profile_id").alias("g0"), "score", F.col("record_id").alias("tie"), F.col("comparison_id").alias("item"))
+    rows = rows.join(rows.groupBy("g0").agg(F.count("*").alias("rows")).where("rows > 10"), "g0")
+    there, reads, _ = skipped(rows, 1024)
+    assert reads < there
 
 
 def test_query_equals_its_sql(spark, small):
