@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-Blocks go to the sources of the highest quotients target / (2 * blocks + 1), none beyond its capacity; a source's blocks
-go to its shards in the same way, by their tokens. In each shard documents are put in a seeded order and the first
-blocks' documents are taken, after as many whole passes as the quota holds. Shards are bounded in tokens, so a source
-that holds a third of all rows is only more shards.
+A source's documents are put into shards of bounded tokens, and each shard is cut into blocks of equal tokens. Blocks go
+to the sources of the highest quotients target / (2 * blocks + 1), none beyond its capacity; a source's blocks go to
+bundles of its shards and a bundle's blocks to its shards in the same way, by their tokens, so that no task sees more
+than a bundle. A shard puts its blocks in a seeded order and gives its quota of them, after as many whole passes as the
+quota holds; the last block is cut to a document. A source that holds a third of all rows is only more shards.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from lodestrand.llm import tokenizing
 from lodestrand.session import Workspace, broadcast_if_small, table
 
-#: Tokens of a block and of a shard, and the number of sources that the driver takes the totals of.
-BLOCK, SHARD, SOURCES = 64, 4_000_000, 100_000
+#: Least and greatest tokens of a block, blocks that all targets' tokens are cut into between these, tokens of a shard,
+#: shards of a bundle, and sources and bundles that the driver takes the totals of.
+BLOCK_LEAST, BLOCK_MOST, BLOCKS, SHARD, BUNDLE, SOURCES = 64, 65_536, 8192, 4_000_000, 1024, 100_000
 
 
 def sainte_lague(weights: list[float], capacities: list[int], blocks: int, names: list[str]) -> list[int]:
@@ -92,57 +94,78 @@ def plan(targets: pd.DataFrame, supply: dict[str, int], total: int | None, block
     return out.assign(blocks=sainte_lague(list(weight), capacities, round(total / block), list(out["source"])), able=able)
 
 
+def shares_of(tokens: list[int], repeats: int, blocks: int, block: int) -> list[int]:
+    """Blocks of parts of one source, by their tokens, within their repeats; what rounding leaves over is cut on selection."""
+    names = [f"{i:012d}" for i in range(len(tokens))]
+    return sainte_lague([float(t) for t in tokens], [-(-t * repeats // block) for t in tokens], blocks, names)
+
+
 def _shard_quotas(block: int):
+    """Quotas of the shards of one bundle."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard", ignore_index=True)
-        repeats, quota = int(pdf["repeats"].iloc[0]), int(pdf["blocks"].iloc[0])
-        tokens = pdf["tokens"].astype(int).tolist()
-        capacities = [-(-t * repeats // block) for t in tokens]
-        got = sainte_lague([float(t) for t in tokens], capacities, quota, [f"{s:012d}" for s in pdf["shard"]])
-        # blocks that rounding leaves over stay with the largest shard, within its repeats on selection
+        got = shares_of(pdf["tokens"].astype(int).tolist(), int(pdf["repeats"].iloc[0]), int(pdf["given"].iloc[0]), block)
         return pdf.assign(quota=np.array(got, np.int64))[["source", "shard", "quota", "tokens", "repeats"]]
 
     return run
 
 
-def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 42, total: int | None = None, block: int = BLOCK, shard: int = SHARD, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 42, total: int | None = None, block: int | None = None, shard: int = SHARD, bundle: int = BUNDLE, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixture (key, source, n_tokens, uses) and the report (source, target_share, actual_share, tokens, documents, supply, max_repeats, repeats).
 
     A document is used at most max_repeats times of its source; uses counts them. Documents of sources without a target,
     of null source and of no token take no part. Sources without documents get 0 and the others share what is missing
     in proportion. The same seed and rows give the same mixture, however they are partitioned. Documents are whole, so a
-    source may miss its quota by a part of a document in each shard. Equal keys are different documents of one order.
-    Other columns of documents are left out, so their names can't clash.
+    source may miss its quota by a part of a document in each shard. Equal and null keys are different documents, placed
+    by their texts; rows equal in key and text lie in one shard. block: tokens of a block, else the targets' tokens over
+    BLOCKS, within BLOCK_LEAST and BLOCK_MOST. Other columns of documents are left out, so their names can't clash.
     """
     spark, work = documents.sparkSession, Workspace(documents.sparkSession, "mixing")
     wanted = targets_of(targets)
     sources = spark.createDataFrame(wanted[["source"]], "source string")
-    own = documents.select(documents[key].alias("key"), documents["source"].alias("source"), documents[text].alias("text")).join(F.broadcast(sources), "source", "left_semi")
-    counted = work.write(tokenizing.count_tokens(own, ["key", "source"], "text", tokenizer), "counted").where("n_tokens > 0")
+    own = documents.select(documents[key].alias("key"), documents["source"].alias("source"), documents[text].alias("text")).join(F.broadcast(sources), "source", "left_semi")  # at most SOURCES names
+    own = own.withColumn("spread", F.xxhash64(F.lit(seed).cast("long"), F.col("key"), F.col("text")))
+    counted = work.write(tokenizing.count_tokens(own, ["key", "source", "spread"], "text", tokenizer), "counted").where("n_tokens > 0")
     supply = {r["source"]: int(r["tokens"]) for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}
+    block = block or min(BLOCK_MOST, max(BLOCK_LEAST, sum(supply.values()) // BLOCKS))
     planned = plan(wanted, supply, total, block)
     shards = [max(1, math.ceil(s / shard)) for s in planned["supply"]]
-    quotas = spark.createDataFrame([(r.source, int(r.blocks), int(r.repeats), n) for r, n in zip(planned.itertuples(), shards)], "source string, blocks long, repeats long, shards int")
-    order = F.xxhash64(F.lit(seed).cast("long"), F.col("key"))
-    placed = counted.join(F.broadcast(quotas), "source").withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed).cast("long"), F.lit("shard"), F.col("key")), F.col("shards")).cast("long"))
-    sizes = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens"), F.first("blocks").alias("blocks"), F.first("repeats").alias("repeats"))
-    given = sizes.groupBy("source").applyInPandas(_shard_quotas(block), "source string, shard long, quota long, tokens long, repeats long")
-    given = work.write(given, "quotas")
-    whole, by = Window.partitionBy("source", "shard"), Window.partitionBy("source", "shard").orderBy("order", "key", "n_tokens")
-    rows = placed.select("key", "source", "n_tokens", "shard", "order").join(broadcast_if_small(given), ["source", "shard"])
+    quotas = spark.createDataFrame([(r.source, int(r.repeats), n) for r, n in zip(planned.itertuples(), shards)], "source string, repeats long, shards int")
+    placed = counted.join(F.broadcast(quotas), "source").withColumn("shard", F.pmod("spread", F.col("shards")).cast("long"))
+    sizes = work.write(placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens"), F.first("repeats").alias("repeats")), "sizes").withColumn("bundle", F.floor(F.col("shard") / bundle))
+    bundles = sizes.groupBy("source", "bundle").agg(F.sum("tokens").alias("tokens")).orderBy("source", "bundle").limit(SOURCES + 1).toPandas()
+    if len(bundles) > SOURCES:
+        raise ValueError(f"more than {SOURCES} bundles of shards")
+    given = []
+    for r in planned.itertuples():
+        part = bundles[bundles["source"] == r.source]
+        got = shares_of(part["tokens"].astype(int).tolist(), int(r.repeats), int(r.blocks), block)
+        given += [(r.source, int(b), int(n)) for b, n in zip(part["bundle"], got)]
+    to_bundles = spark.createDataFrame(given, "source string, bundle long, given long")
+    quota = sizes.join(F.broadcast(to_bundles), ["source", "bundle"]).groupBy("source", "bundle").applyInPandas(_shard_quotas(block), "source string, shard long, quota long, tokens long, repeats long")
+    quota = work.write(quota, "quotas")
+    here = Window.partitionBy("source", "shard")
+    rows = placed.select("key", "source", "n_tokens", "shard", "spread").join(broadcast_if_small(quota), ["source", "shard"])
     take = F.least(F.col("quota") * block, F.col("tokens") * F.col("repeats"))
     rows = rows.withColumn("passes", F.floor(take / F.col("tokens"))).withColumn("rest", take - F.col("passes") * F.col("tokens"))
-    # the documents of the first blocks that lie within them whole, then the one that fits what is left best
+    # a document belongs to the block in which it begins; blocks come in the order of the seed, documents in their own
+    ahead = here.orderBy("key", "spread", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("block", F.floor((F.sum("n_tokens").over(ahead) - F.col("n_tokens")) / F.lit(block)))
+    rows = rows.withColumn("order", F.xxhash64(F.lit(seed).cast("long"), F.col("source"), F.col("shard"), F.col("block")))
+    by = here.orderBy("order", "block", "key", "spread", "n_tokens")
+    # the documents of the first blocks that lie within the quota whole, then the one that fits what is left best
     rows = rows.withColumn("nth", F.row_number().over(by)).withColumn("inside", F.sum("n_tokens").over(by.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("rest"))
-    rows = rows.withColumn("gap", F.col("rest") - F.coalesce(F.sum(F.when(F.col("inside"), F.col("n_tokens"))).over(whole), F.lit(0)))
-    rows = rows.withColumn("last", F.min(F.when(~F.col("inside"), F.struct(F.abs(F.col("gap") - F.col("n_tokens")).alias("off"), "nth"))).over(whole))
+    rows = rows.withColumn("gap", F.col("rest") - F.coalesce(F.sum(F.when(F.col("inside"), F.col("n_tokens"))).over(here), F.lit(0)))
+    rows = rows.withColumn("last", F.min(F.when(~F.col("inside"), F.struct(F.abs(F.col("gap") - F.col("n_tokens")).alias("off"), "nth"))).over(here))
     fits = ~F.col("inside") & (F.col("nth") == F.col("last.nth")) & (F.col("last.off") < F.col("gap"))
     mixed = rows.withColumn("uses", (F.col("passes") + F.when(F.col("inside") | F.coalesce(fits, F.lit(False)), 1).otherwise(0)).cast("int")).where("uses > 0").select(F.col("key").alias(key), "source", "n_tokens", "uses")
     mixed = work.write(mixed, "mixed")
     reached = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("repeats"))
-    total_of = reached.agg(F.sum("tokens").alias("whole"))
     asked = spark.createDataFrame([(r.source, float(r.share), int(r.supply), int(r.repeats)) for r in planned.itertuples()], "source string, target_share double, supply long, max_repeats int")
-    report = asked.join(F.broadcast(reached), "source", "left").join(F.broadcast(total_of)).select("source", "target_share", F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "documents")), "supply", "max_repeats", F.coalesce("repeats", F.lit(0)).alias("repeats"))
+    all_ = Window.partitionBy()  # at most SOURCES rows
+    report = asked.join(F.broadcast(reached), "source", "left").withColumn("whole", F.sum("tokens").over(all_))
+    report = report.select("source", "target_share", F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "documents")), "supply", "max_repeats", F.coalesce("repeats", F.lit(0)).alias("repeats"))
     return mixed, report
 
 

@@ -90,3 +90,25 @@ def test_nothing_to_mix(spark):
         df = make(spark, counts) if counts else make(spark, []).where("false")
         mixed, report = mixing.mix(df, targets(spark, wanted))
         assert mixed.count() == 0 and report.count() == len(wanted)
+
+
+def test_blocks_are_chosen_by_the_seed(spark):
+    """Documents of a shard come in runs: chosen blocks of neighbouring keys, not single documents."""
+    mixed, report = run(spark, [("a", 400), ("b", 400)], [("a", 0.5, 1), ("b", 0.5, 1)], block=200, total=6000)
+    used = sorted(k for k in mixed if k < 400)
+    runs = 1 + sum(b > a + 1 for a, b in zip(used, used[1:]))
+    assert 40 < len(used) < 390 and runs < len(used) / 4 and abs(report["a"]["tokens"] - 3000) < 40
+
+
+def test_bundles_keep_the_quota(spark):
+    wanted = [("a", 0.6, 1), ("b", 0.4, 3)]
+    whole, parted = (run(spark, [("a", 400), ("b", 100)], wanted, shard=300, bundle=n)[1] for n in (10**6, 2))
+    for s in ("a", "b"):
+        assert abs(whole[s]["actual_share"] - parted[s]["actual_share"]) < 0.02
+
+
+def test_null_and_equal_keys_are_spread(spark):
+    rows = [(None if i % 2 else 7, TEXT + f" {i}", "a") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed, report = mixing.mix(df, targets(spark, [("a", 1.0, 1)]), shard=500, total=2000)
+    assert abs(sum(r["n_tokens"] for r in mixed.collect()) - 2000) < 200
