@@ -2,8 +2,9 @@
 
 Whole texts against whole shards would cost texts x shards. So texts are first marked with anchors, windows' least
 hashes, of which each span of the threshold's length holds one; only stretches around anchors that several texts share
-are streamed. Stretches whose anchors lie in the same set of texts go to one shard, so each is indexed about once. No
-shared span is lost: its anchor is in both texts, with the whole span in both stretches.
+are streamed. Stretches whose anchors lie in the same set of texts go to one shard, so each is indexed about once. The
+stretches of a set that is too long for one are cut into parts, and each two parts have a shard: every pair of stretches
+meets in one. No shared span is lost: its anchor is in both texts, with the whole span in both stretches.
 
 In a shard the FM-index of the distinct stretches gives, for each position of each stretch, the interval of suffixes
 that begin with the same span; matches are held at the threshold by the LCP bits kept with the index (the parent
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from lodestrand.session import Workspace, broadcast_if_small, table
 
-#: Least length of a shared span, length of an anchor, characters of a shard, and of a group of stretches that still is indexed.
-LEAST, ANCHOR, SHARD, MOST, CHUNK = 160, 64, 1 << 20, 1 << 21, 1024
+#: Least length of a shared span, length of an anchor, characters of a shard, of a set of stretches that still has one
+#: shard, of the overlapping pieces that a long stretch is indexed in, and of those in which one is streamed.
+LEAST, ANCHOR, SHARD, MOST, PIECE, CHUNK = 160, 64, 1 << 20, 1 << 21, 1 << 17, 1024
 _MASK = (1 << 64) - 1
 
 
@@ -140,7 +142,11 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """FM-index of several texts: backward steps by rank, and the LCP bits that hold matches at the threshold."""
+    """FM-index of several texts: backward steps by rank, and the LCP bits that hold matches at the threshold.
+
+    Kept: the wavelet matrix of packed bits, the texts in the narrowest type of their alphabet, and for each suffix the
+    number of its text and of its interval (32 bits each). The suffix array itself is dropped after construction.
+    """
 
     def __init__(self, texts: list[str], least: int) -> None:
         self.least = least
@@ -152,18 +158,21 @@ class FmIndex:
         inside = np.ones(len(codes), bool)
         inside[ends] = False
         alphabet, dense = np.unique(codes[inside], return_inverse=True)
-        self.symbols = np.zeros(len(codes), np.int64)  # 0: end of a text
+        self.symbols = np.zeros(len(codes), np.min_scalar_type(len(alphabet)))  # 0: end of a text
         self.symbols[inside] = dense + 1
-        distinct = np.where(inside, self.symbols + len(texts) - 1, 0)
+        distinct = np.where(inside, self.symbols.astype(np.int64) + len(texts) - 1, 0)
         distinct[ends] = np.arange(len(texts))
-        self.order, agrees = suffix_array(distinct, least)
-        before = self.symbols[self.order - 1]
+        order, agrees = suffix_array(distinct, least)
+        del distinct, dense, codes, inside
         self.before = np.concatenate([[0], np.cumsum(np.bincount(self.symbols, minlength=len(alphabet) + 1))])
-        self.matrix = WaveletMatrix(before, len(alphabet) + 1)
-        cuts = np.flatnonzero(~agrees)
-        self.block = np.cumsum(~agrees) - 1  # the interval of suffixes that agree in the first `least` symbols
-        self.low, self.high = cuts, np.concatenate([cuts[1:], [len(codes)]])
-        self.text = np.repeat(np.arange(len(texts)), lengths + 1)
+        self.matrix = WaveletMatrix(self.symbols[order - 1], len(alphabet) + 1)
+        self.of = self.text_at(order).astype(np.int32)  # the text of each suffix
+        cuts = np.flatnonzero(~agrees).astype(np.int32)
+        self.block = (np.cumsum(~agrees) - 1).astype(np.int32)  # the interval of suffixes that agree in the first `least` symbols
+        self.low, self.high = cuts, np.append(cuts[1:], np.int32(len(self.symbols)))
+
+    def text_at(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, places, "right") - 1
 
     def step(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of suffixes that begin with the symbol before what the intervals hold."""
@@ -176,7 +185,7 @@ class FmIndex:
 
         The texts are streamed from their ends, many at once; long ones in chunks that overlap by the threshold.
         """
-        hits = np.full(len(self.symbols), -1, np.int64)
+        hits = np.full(len(self.symbols), -1, np.int32)
         found = lengths - self.least + 1  # places where a span can begin
         pieces = [(s + i, min(CHUNK, f - i) + self.least - 1) for s, f in zip(starts.tolist(), found.tolist()) for i in range(0, f, CHUNK)]
         if not pieces:
@@ -193,7 +202,7 @@ class FmIndex:
             if t >= self.least - 1:
                 block = self.block[low]
                 hits[at] = block
-                low, high = self.low[block], self.high[block]
+                low, high = self.low[block].astype(np.int64), self.high[block].astype(np.int64)
         return hits
 
 
@@ -207,24 +216,24 @@ def shard_spans(docs: np.ndarray, offsets: np.ndarray, stretches: list[str], lea
     bounds = np.searchsorted(number[order], np.arange(len(numbers) + 1))
     least_doc = np.minimum.reduceat(docs[order], bounds[:-1])
     most_doc = np.maximum.reduceat(docs[order], bounds[:-1])
-    of = index.text[index.order]  # the text of each suffix
+    of = index.of
     first, last = np.minimum.reduceat(least_doc[of], index.low), np.maximum.reduceat(most_doc[of], index.low)
     shared = np.concatenate([first != last, [False]])  # the last stands for -1
     common = shared[hits]
     intervals, pairs = [], set()
     edge = np.flatnonzero(np.diff(np.concatenate([[0], common.astype(np.int8), [0]])))
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        text = int(index.text[a])
+        text = int(index.text_at(np.array([a]))[0])
         for own in order[bounds[text] : bounds[text + 1]]:
             at = int(offsets[own]) - int(index.starts[text])
             intervals.append((int(docs[own]), at + a, at + b + least - 1))
     # intervals with the same texts give the same pairs: one of each kind is enough
     blocks = np.unique(hits[common])
     if len(blocks):
-        sizes = index.high[blocks] - index.low[blocks]
+        sizes = (index.high[blocks] - index.low[blocks]).astype(np.int64)
         owner = np.repeat(np.arange(len(blocks)), sizes)
         suffix = np.repeat(index.low[blocks] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
-        member = np.unique(owner * len(numbers) + of[suffix])
+        member = np.unique(owner * len(numbers) + of[suffix].astype(np.int64))
         owner, text = member // len(numbers), member % len(numbers)
         mark = np.random.default_rng(0).integers(0, 1 << 62, (2, len(numbers)), dtype=np.uint64)
         cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
@@ -253,16 +262,20 @@ class SharedSpans:
         self.marks = self.work.write(self._marked(), "marks")
         self.copies = self.work.write(self._copied(), "copies")
         stretches = self.work.write(self._stretches(), "stretches")
-        sizes = stretches.groupBy("kind").agg(F.sum(F.length("text")).alias("chars"))
-        total = sizes.agg(F.sum("chars")).first()[0] or 0
-        self.hot = sizes.where(F.col("chars") > MOST).select("kind")
-        self.any_hot = bool(self.hot.take(1))
-        shards = max(1, math.ceil(total / SHARD))
-        plain = stretches if not self.any_hot else stretches.join(broadcast_if_small(self.hot), "kind", "left_anti")
-        plain = plain.select("doc", "at", "text", F.pmod(F.xxhash64("kind"), F.lit(shards)).alias("shard"))
-        tasks = 4 * shards  # a given number: shards are few rows and much work, so they must not be coalesced nor meet in one task
-        self.found = self.work.write(plain.repartition(tasks, "shard").groupBy("shard").applyInPandas(self._searched(), "doc bigint, other bigint, low bigint, high bigint"), "found")
-        self.grams = self._grams(stretches) if self.any_hot else None
+        sizes = self.work.write(stretches.groupBy("kind").agg(F.sum(F.length("text")).alias("chars")), "sizes")
+        summed = sizes.agg(F.sum("chars"), F.sum(F.when(F.col("chars") > MOST, F.pow(F.ceil(2 * F.col("chars") / MOST), 2) / 2)).cast("bigint")).first()
+        shards = max(1, math.ceil((summed[0] or 0) / SHARD))
+        hot = sizes.where(F.col("chars") > MOST).select("kind", F.ceil(2 * F.col("chars") / MOST).cast("int").alias("parts"))
+        # a set too long for a shard: part p is in the shards of all pairs (p, q), so any two of its stretches meet
+        part = F.pmod(F.xxhash64("text"), F.col("parts")).cast("int")  # equal pieces are indexed once, in one part
+        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != F.col("part")))
+        cut = stretches.join(broadcast_if_small(hot), "kind").withColumn("part", part).withColumn("other", other)
+        cut = cut.select("doc", "at", "text", F.xxhash64("kind", F.least("part", "other"), F.greatest("part", "other")).alias("shard"))
+        plain = stretches.join(broadcast_if_small(hot.select("kind")), "kind", "left_anti").select("doc", "at", "text", F.pmod(F.xxhash64("kind"), F.lit(shards)).alias("shard"))
+        placed = plain if not summed[1] else plain.unionByName(cut)
+        tasks = 4 * (shards + (summed[1] or 0))  # a given number: shards are few rows and much work, so they must not be coalesced nor meet in one task
+        self.shards = shards + (summed[1] or 0)
+        self.found = self.work.write(placed.repartition(tasks, "shard").groupBy("shard").applyInPandas(self._searched(), "doc bigint, other bigint, low bigint, high bigint"), "found")
 
     def _marked(self) -> DataFrame:
         """Each text's length, digest and anchors."""
@@ -302,6 +315,10 @@ class SharedSpans:
         by_kind = places.join(shared, "hash").groupBy("doc", "kind").agg(F.array_sort(F.collect_list("place")).alias("places"))
         by_doc = by_kind.groupBy("doc").agg(F.collect_list(F.struct("kind", "places")).alias("kinds"))
 
+        def pieces(kind: int, doc: int, start: int, end: int, text: str) -> list[tuple]:
+            """A stretch in pieces that overlap by one less than the threshold, so that each span lies in one."""
+            return [(kind, doc, i, text[i : min(end, i + PIECE + least - 1)]) for i in range(start, max(start + 1, end - least + 1), PIECE)]
+
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows: list[tuple] = []
@@ -312,15 +329,15 @@ class SharedSpans:
                             a, b = max(0, place - (least - anchor)), min(len(text), place + least)
                             if a > end:
                                 if start is not None:
-                                    rows.append((kind["kind"], doc, start, text[start:end]))
+                                    rows += pieces(kind["kind"], doc, start, end, text)
                                 start = a
                             end = b
-                        rows.append((kind["kind"], doc, start, text[start:end]))
+                        rows += pieces(kind["kind"], doc, start, end, text)
                 columns = list(zip(*rows)) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["kind", "doc", "at", "text"])
 
         by_doc = self.work.write(by_doc, "regions")  # else the check of its size would compute it once more
-        return self.texts.join(broadcast_if_small(by_doc, 20_000), "doc").select("doc", "text", "kinds").mapInArrow(cut, "kind bigint, doc bigint, at bigint, text string")
+        return self.texts.join(broadcast_if_small(by_doc), "doc").select("doc", "text", "kinds").mapInArrow(cut, "kind bigint, doc bigint, at bigint, text string")
 
     def _searched(self):
         least = self.least
@@ -333,30 +350,17 @@ class SharedSpans:
 
         return run
 
-    def _grams(self, stretches: DataFrame) -> DataFrame:
-        """For sets of texts whose stretches are too long for one shard: every span of the threshold's length, by 128 bits of hash."""
-        least = self.least
+    def links(self) -> DataFrame:
+        """a < b, once each: pairs of texts that share a span, of exact copies only the one of the least key; members() has the rest."""
+        return self.found.where("low < 0").select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct()
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for doc, at, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                    a, b = (gram_hashes(codes, least, base).view(np.int64) for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-                    for i in range(0, len(a), 100_000):
-                        n = len(a[i : i + 100_000])
-                        yield pa.RecordBatch.from_arrays([pa.array(a[i : i + n]), pa.array(b[i : i + n]), pa.array(np.full(n, doc)), pa.array(at + i + np.arange(n))], names=["a", "b", "doc", "at"])
-
-        hot = stretches.join(broadcast_if_small(self.hot), "kind", "left_semi").select("doc", "at", "text")
-        return self.work.write(hot.mapInArrow(run, "a bigint, b bigint, doc bigint, at bigint"), "grams")
+    def members(self) -> DataFrame:
+        """doc, rep: each text of the threshold's length or longer with the copy that stands for it, itself if it has none."""
+        return self.marks.where("digest is not null").select("doc").join(self.copies, "doc", "left").select("doc", F.coalesce("rep", "doc").alias("rep"))
 
     def pairs(self) -> DataFrame:
         """doc_a < doc_b, once each: all pairs of texts that share a span, copies included."""
-        known = self.found.where("low < 0").select(F.col("doc").alias("a"), F.col("other").alias("b"))
-        if self.any_hot:
-            one = self.grams.select("a", "b", "doc").distinct()
-            two = one.select("a", "b", F.col("doc").alias("doc_2"))
-            known = known.unionByName(one.join(two, ["a", "b"]).where("doc < doc_2").select(F.col("doc").alias("a"), F.col("doc_2").alias("b")))
-        known = known.distinct()
+        known = self.links()
         copies = broadcast_if_small(self.copies.select("rep", F.col("doc").alias("copy")))
         for side in ("a", "b"):
             known = known.join(copies.withColumnRenamed("rep", side).withColumnRenamed("copy", f"copy_{side}"), side, "left").withColumn(side, F.coalesce(f"copy_{side}", side)).select("a", "b")
@@ -364,12 +368,8 @@ class SharedSpans:
         return known.unionByName(alike).select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
 
     def amounts(self) -> DataFrame:
-        """doc, chars, shared_chars: how much of each text stands in others too. Linear in the texts, whatever they share."""
-        least = self.least
+        """doc, chars, shared_chars: how much of each text stands in others too. Pairs of texts aren't needed for it."""
         spans = self.found.where("low >= 0").select("doc", "low", "high")
-        if self.any_hot:
-            several = self.grams.groupBy("a", "b").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x <> y").select("a", "b")
-            spans = spans.unionByName(self.grams.join(several, ["a", "b"], "left_semi").select("doc", F.col("at").alias("low"), (F.col("at") + least).alias("high")))
         start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
         merged = F.aggregate(F.array_sort(F.collect_set(F.struct("low", "high"))), start, lambda acc, x: F.struct((acc.n + F.greatest(x.high - F.greatest(x.low, acc.end), F.lit(0).cast("bigint"))).alias("n"), F.greatest(acc.end, x.high).alias("end")))
         by_doc = spans.groupBy("doc").agg(merged.n.alias("part"))

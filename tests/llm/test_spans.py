@@ -52,15 +52,37 @@ def found(spark, table):
 def test_equals_brute_force(spark, seed):
     table = make(seed)
     pairs, amounts, s = found(spark, table)
-    assert (pairs, amounts) == brute(table, L) and not s.any_hot
+    assert (pairs, amounts) == brute(table, L) and s.shards == 1
 
 
 def test_sets_too_large_for_a_shard(spark, monkeypatch):
     monkeypatch.setattr(spans, "MOST", 200)
     monkeypatch.setattr(spans, "SHARD", 300)
+    monkeypatch.setattr(spans, "PIECE", 30)
     table = make(3)
     pairs, amounts, s = found(spark, table)
-    assert s.any_hot and (pairs, amounts) == brute(table, L)
+    assert s.shards > 20 and (pairs, amounts) == brute(table, L)
+
+
+def test_a_set_of_ten_million_characters(spark):
+    r = random.Random(5)
+    passage = "".join(r.choices("abcdefgh \n", k=500_000))
+    table = [(i, f"{i} " * 40 + passage[: 500_000 - i] + f" end {i}" * 30) for i in range(22)]
+    s = spans.SharedSpans(spark.createDataFrame(table, "doc_id long, text string").repartition(4))
+    assert sum(len(t) for _, t in table) > 10_000_000 and s.shards > 10
+    assert {tuple(x) for x in s.pairs().collect()} == {(a, b) for a in range(22) for b in range(a + 1, 22)}
+    got = {x["doc"]: x["shared_chars"] for x in s.amounts().collect()}
+    assert all(abs(got[i] - (500_000 - i)) < 100 for i in range(22))
+
+
+def test_links_of_representatives_and_their_members(spark):
+    table = make(6)
+    s = found(spark, table)[2]
+    rep = {r["doc"]: r["rep"] for r in s.members().collect()}
+    linked = {tuple(r) for r in s.links().collect()}
+    pairs, _ = brute(table, L)
+    assert {(a, b) for a, b in pairs if rep[a] == a and rep[b] == b} == linked
+    assert all((min(rep[a], rep[b]), max(rep[a], rep[b])) in linked or rep[a] == rep[b] for a, b in pairs)
 
 
 def test_long_texts_are_streamed_in_chunks(spark, monkeypatch):
