@@ -1,7 +1,8 @@
 """Deeply nested JSON as flat tables: adjacency-table shredding.
 
-Each body becomes rows of an adjacency table (node, parent, owner, label, ordinal, kind, scalar, member, at, up). Object
-nodes joined with their scalar children and pivoted give the entity tables, one for each kind of object; `owner` keeps
+Each body becomes rows of an adjacency table (doc, node, parent, owner, label, ordinal, kind, scalar, member, at, up):
+doc tells bodies apart, at and up are the numbers of a node and of the object around it in its body, node and parent the
+paths that they are spelt with. Object nodes joined with their scalar children and pivoted give the entity tables, one for each kind of object; `owner` keeps
 the link to the object around a node. What is no object stands in one table of members, with its kind and its object.
 """
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ADJACENCY = "node string, parent string, owner string, label string, ordinal int, kind string, scalar string, member string, at int, up int"
+ADJACENCY = "doc bigint, node string, parent string, owner string, label string, ordinal int, kind string, scalar string, member string, at int, up int"
 
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null))')
 
@@ -142,8 +143,8 @@ def adjacency(df: DataFrame, key: str, body: str, keep: tuple[str, ...] = ()) ->
     No shuffle: each body is shredded where it is read.
     """
     out = [key, *keep]
-    source = df.select(*(df[c] for c in out), df[body].alias("__body")).where(F.col("__body").isNotNull())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", " + ADJACENCY
+    source = df.select(*(df[c] for c in out), df[body].alias("__body")).where(F.col("__body").isNotNull()).withColumn("__doc", F.monotonically_increasing_id())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-2]) + ", " + ADJACENCY
     width, most, longest = len(out), 50_000, 8 << 20  # rows and characters of paths of a batch
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,9 +155,10 @@ def adjacency(df: DataFrame, key: str, body: str, keep: tuple[str, ...] = ()) ->
             size = 0
 
             def made() -> pa.RecordBatch:
-                heads = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(width)]
+                rows = pa.array(at, pa.int64())
+                heads = [batch.column(i).take(rows) for i in (*range(width), width + 1)]
                 got = [pa.array([_clean(x) for x in c] if k == pa.string() else c, k) for c, k in zip(cells, kinds)]
-                return pa.RecordBatch.from_arrays(heads + got, names=[*out, "node", "parent", "owner", "label", "ordinal", "kind", "scalar", "member", "at", "up"])
+                return pa.RecordBatch.from_arrays(heads + got, names=[*out, "doc", "node", "parent", "owner", "label", "ordinal", "kind", "scalar", "member", "at", "up"])
 
             for row, text in enumerate(batch.column(width)):
                 for node in nodes(text.as_py()):
@@ -182,20 +184,24 @@ def entity(tree: DataFrame, key: str, pattern: str, members: list[str]) -> DataF
     """The entity table of the objects whose path fits the regular expression as a whole.
 
     Columns: key, node, parent, then one text column for each member; null where it is absent, null or no scalar.
-    Object nodes meet their scalar children by (key, node) in one pass: children carry their parent's path, so the join
-    is a co-partitioned union with a conditional maximum (the pivot), not a join of the tree with itself.
     """
-    is_node = F.col("kind") == "object"
-    scalar = F.col("kind").isin("string", "number", "boolean") & F.col("label").isin(members)
-    sides = tree.where(is_node | scalar).select(F.col(key), F.when(is_node, F.col("node")).otherwise(F.col("parent")).alias("__at"), is_node.alias("__is"), F.coalesce("owner", F.lit("")).alias("__up"), "label", "scalar")
-    sides = sides.where(F.col("__at").rlike(f"^(?:{pattern})$"))
-    child = lambda m: F.max(F.when(~F.col("__is") & (F.col("label") == m), F.col("scalar"))).alias(m)
-    return (
-        sides.groupBy(key, "__at")
-        .agg(F.bool_or("__is").alias("__found"), F.max(F.when(F.col("__is"), F.col("__up"))).alias("__parent"), *map(child, members))
-        .where("__found")
-        .select(key, F.col("__at").alias("node"), F.col("__parent").alias("parent"), *members)
-    )
+    return pivoted(tree, key, F.col("node").rlike(f"^(?:{pattern})$"), F.col("parent").rlike(f"^(?:{pattern})$"), members, [])
+
+
+def pivoted(tree: DataFrame, key: str, nodes_of: Column, scalars_of: Column, members: list[str], more: list[str]) -> DataFrame:
+    """Object nodes joined with their scalar children, one text column for each member name; `more` are further columns of the node.
+
+    nodes_of chooses among object nodes; scalars_of, of the scalars right below an object, at least those below a chosen one.
+    Both sides meet by (key, doc, number of the node) in one grouping, a co-partitioned union with a conditional maximum,
+    not a join of the tree with itself. Numbers, not paths, are compared: names that hold "/" can give two nodes one path,
+    and two bodies may have one key.
+    """
+    is_node = (F.col("kind") == "object") & nodes_of
+    scalar = F.col("kind").isin("string", "number", "boolean") & F.col("label").isin(*members) & F.coalesce(F.col("parent") == F.col("owner"), F.lit(False)) & scalars_of
+    node = F.struct("node", _link().alias("parent"), *more)
+    sides = tree.where(is_node | scalar).select(F.col(key), "doc", F.when(is_node, F.col("at")).otherwise(F.col("up")).alias("__at"), F.when(is_node, node).alias("__object"), F.col("label").alias("__label"), F.col("scalar").alias("__scalar"))
+    child = lambda m: F.max(F.when(F.col("__object").isNull() & (F.col("__label") == m), F.col("__scalar"))).alias(m)
+    return sides.groupBy(key, "doc", "__at").agg(F.max("__object").alias("__object"), *map(child, members)).where("__object is not null").select(key, "__object.node", "__object.parent", *(f"__object.{m}" for m in more), *members)
 
 
 #: The entity tables by query: the member names whose objects they hold (None: the root, or objects of arrays that are
@@ -237,13 +243,9 @@ def entities(tree: DataFrame, key: str, kinds: tuple[str | None, ...], columns:
     """The entity table of the objects that stand in a member of these names, wherever that is, in arrays of any depth or not.
 
     Columns: key, node, parent, kind (the member's name), then one text column for each of `columns`; null where it is absent, null or no
-    scalar. Objects meet their scalar children by (key, number), not by path, in one pass as in entity().
+    scalar. parent is "" where the object around is the root or there is none, null for the root itself.
     """
-    is_node = (F.col("kind") == "object") & _of_kind(kinds)
-    scalar = F.col("kind").isin("string", "number", "boolean") & F.col("label").isin(*columns) & F.coalesce(F.col("parent") == F.col("owner"), F.lit(False))
-    sides = tree.where(is_node | scalar).select(F.col(key), F.when(is_node, F.col("at")).otherwise(F.col("up")).alias("__at"), F.when(is_node, F.struct("node", _link().alias("parent"), F.col("member").alias("kind"))).alias("__object"), F.col("label").alias("__label"), F.col("scalar").alias("__scalar"))
-    child = lambda m: F.max(F.when(F.col("__object").isNull() & (F.col("__label") == m), F.col("__scalar"))).alias(m)
-    return sides.groupBy(key, "__at").agg(F.max("__object").alias("__object"), *map(child, columns)).where("__object is not null").select(key, "__object.node", "__object.parent", "__object.kind", *columns)
+    return pivoted(tree.withColumn("of", F.col("member")), key, _of_kind(kinds), F.lit(True), list(columns), ["of"]).withColumnRenamed("of", "kind")
 
 
 def contract_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,3 +282,30 @@ def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: All of a body: each object is in one of the entity tables or p5_others, all else in p5_members.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, **{name: _entity_query(name) for name in ENTITIES}, "p5_others": p5_others, "p5_members": p5_members}
+
+
+#: All nodes of all bodies in SQL; paths in json_extract are JSON pointers.
+_TREE_SQL = """WITH RECURSIVE tree AS (
+  SELECT raw_id, '' AS node, NULL::VARCHAR AS parent, NULL::VARCHAR AS owner, NULL::VARCHAR AS label, NULL::VARCHAR AS member, body::JSON AS v FROM raw_contracts WHERE body IS NOT NULL AND json_valid(body)
+  UNION ALL
+  SELECT raw_id, node, parent, owner, label, member, CASE WHEN json_type(v) = 'VARCHAR' AND left(v ->> '$', 1) IN ('{', '[') AND json_valid(v ->> '$') THEN (v ->> '$')::JSON ELSE v END
+  FROM (SELECT raw_id, node || '/' || k AS node, node AS parent, CASE WHEN json_type(v) = 'OBJECT' THEN node ELSE owner END AS owner, k AS label, CASE WHEN json_type(v) = 'OBJECT' THEN k ELSE member END AS member, json_extract(v, '/' || replace(replace(k, '~', '~0'), '/', '~1')) AS v
+    FROM (SELECT *, unnest(CASE json_type(v) WHEN 'OBJECT' THEN list_distinct(json_keys(v)) WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda i: i::VARCHAR) ELSE [] END) AS k FROM tree))),
+kinds AS (SELECT * EXCLUDE (v), v, CASE json_type(v) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' ELSE 'number' END AS kind, CASE WHEN node <> '' THEN coalesce(owner, '') END AS link FROM tree)"""
+
+
+def _entity_sql(kinds: tuple[str | None, ...], columns: tuple[str, ...]) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    named = [quoted(k) for k in kinds if k is not None]
+    fits = " OR ".join([f"member IN ({', '.join(named)})"] * bool(named) + ["member IS NULL"] * (None in kinds))
+    child = lambda c: f"(SELECT max(CASE WHEN s.kind IN ('string', 'number', 'boolean') THEN s.v ->> '$' END) FROM kinds s WHERE s.raw_id = o.raw_id AND s.parent = o.node AND s.label = {quoted(c)})"
+    return f"{_TREE_SQL} SELECT raw_id, node, link AS parent, member AS kind, {', '.join(f'{child(c)} AS {chr(34)}{c}{chr(34)}' for c in columns)} FROM kinds o WHERE kind = 'object' AND ({fits})"
+
+
+_KNOWN = ", ".join(f"'{k}'" for kinds, _ in ENTITIES.values() for k in kinds if k is not None)
+ORACLES: dict[str, str] = {
+    "p5_found": f"{_TREE_SQL} SELECT raw_id, link AS parent, node FROM kinds WHERE kind = 'object' AND node <> ''",
+    **{name: _entity_sql(*spec) for name, spec in ENTITIES.items()},
+    "p5_others": f"{_TREE_SQL} SELECT raw_id, node, link AS parent, member AS kind FROM kinds WHERE kind = 'object' AND member NOT IN ({_KNOWN})",
+    "p5_members": f"{_TREE_SQL} SELECT raw_id, node, link AS parent, member, label, kind, CASE WHEN kind IN ('string', 'number', 'boolean') THEN v ->> '$' END AS scalar FROM kinds WHERE kind <> 'object'",
+}

@@ -13,4 +13,4 @@ QUERIES = {
     **shredding.QUERIES,
 }
 
-ORACLES: dict[str, str] = {**similarity_queries.ORACLES, **release_queries.ORACLES}
+ORACLES: dict[str, str] = {**similarity_queries.ORACLES, **release_queries.ORACLES, **shredding.ORACLES}

@@ -1,7 +1,8 @@
 """Verification of a release package and the handle that queries are answered from.
 
-The driver reads the few control documents; hashing, table checks and vector gates are Spark jobs over all rows. What
-was verified is written to the shared folder, so later changes of the package have no effect on an open release.
+The package is copied to the shared folder first, hashed as it is copied, and all else is read from that copy: what was
+hashed is what is parsed, and later changes of the package have no effect. The driver reads the few control documents;
+copying, table checks and vector gates are Spark jobs over all files and rows.
 """
 
 from __future__ import annotations
@@ -126,6 +127,7 @@ class Release:
     profile: dict | None
     report: dict
     work: Workspace = field(repr=False)
+    root: str = field(default="", repr=False)  # the verified copy
 
     @cached_property
     def binding(self) -> tuple[DataFrame | None, str | None]:
@@ -148,13 +150,16 @@ class Release:
         return self.work.write(rows, "bound"), None
 
     def table(self, path: str) -> DataFrame:
-        """A JSON-lines table by its manifest path, nothing else; KeyError or ValueError otherwise."""
+        """A JSON-lines table by its manifest path, nothing else; KeyError or ValueError otherwise.
+
+        Records and instances come with their fields, any other declared table as `raw`, each line as VARIANT.
+        """
         if path not in self.artifacts:
             raise KeyError(f"the manifest has no artifact {path}")
         if self.artifacts[path]["media_type"] != LINES_TYPE:
             raise ValueError(f"{path} is no JSON-lines table")
         known = {RECORDS: self.records, INSTANCES: self.instances}
-        return known[path] if path in known else self.work.spark.read.text(self.work.path(path)).select(F.try_parse_json("value").alias("raw"))
+        return known[path] if path in known else files.read_lines(self.work.spark, f"{self.root}/{path}", {})
 
     def close(self) -> None:
         self.work.clear()
@@ -165,17 +170,20 @@ def verify(spark: SparkSession, root: str, policy: Policy = Policy()) -> Release
     if not os.path.isdir(root):
         raise ReleaseRefused("release package directory does not exist", "release_not_found")
     _need(not os.path.islink(root), "release package directory must not be a symbolic link")
+    links = [p for p, folders, names in os.walk(root) for n in [*folders, *names] if os.path.islink(os.path.join(p, n))]
+    _need(not links, "an artifact lies outside the package")
+    work = Workspace(spark, "release")
+    copied = work.write(files.copy_tree(spark, root, work.path("snapshot")), "artifacts")
+    root = work.path("snapshot")
     manifest = _document(root, MANIFEST)
-    manifest_digest = files.stream_digest(os.path.join(root, MANIFEST))
+    manifest_digest = copied.where(F.col("path") == MANIFEST).first()["digest"]
     descriptors = check_manifest(manifest, policy)
-    work = Workspace(spark, "release")
     by_path = {a["path"]: a for a in descriptors}
     declared = spark.createDataFrame([tuple(a[k] for k in sorted(DESCRIPTOR)) for a in descriptors], "contract_version string, digest string, media_type string, path string, size bigint")
-    escapes = [p for p in by_path if not os.path.realpath(os.path.join(root, p)).startswith(os.path.realpath(root) + os.sep) or os.path.islink(os.path.join(root, p))]
-    _need(not escapes, "an artifact lies outside the package")
-    actual = work.write(files.read_artifacts(spark, root, content=True).where(F.col("path") != MANIFEST), "artifacts")
-    fault = accounting.inventory(declared, actual.select("path", "size", "digest")).orderBy("path").take(1)
+    held = copied.where(F.col("path") != MANIFEST)
+    fault = accounting.inventory(declared, held).orderBy("path").take(1)
     _need(not fault, f"inventory: {fault[0]['fault']}: {fault[0]['path']}" if fault else "")
+    actual = files.read_artifacts(spark, root, content=True).where(F.col("path") != MANIFEST)
     for needed in (RECORDS, ENTITIES, VECTORS, SHARD, INSTANCES):
         _need(needed in by_path, f"the package lacks {needed}")
     for path, kind in ((VECTORS, VECTOR_TYPE), (SHARD, JSON_TYPE), (RECORDS, LINES_TYPE), (INSTANCES, LINES_TYPE)):
@@ -184,7 +192,7 @@ def verify(spark: SparkSession, root: str, policy: Policy = Policy()) -> Release
     at = lambda p: os.path.join(root, p)
     records = work.write(files.read_lines(spark, at(RECORDS), RECORD_FIELDS).select(F.to_json("raw").alias("raw_text"), *RECORD_FIELDS), "records")
     entities = work.write(files.read_lines(spark, at(ENTITIES), {"entity_id": "string", "entity_type": "string", "record_versions": "array<string>"}).drop("raw"), "entities")
-    n_records = _check_records(records, entities, actual, policy)
+    n_records = _check_records(records, entities, held, policy)
 
     shard = _document(root, SHARD)
     dimension = shard.get("dimension")
@@ -201,13 +209,10 @@ def verify(spark: SparkSession, root: str, policy: Policy = Policy()) -> Release
     _need(profile is None or policy.profile is None or policy.profile.items() <= profile.items(), "the profile declaration is not the expected one")
     _check_stages(actual)
     _need(not accounting.credential_faults(actual).take(1), "the package holds what looks like credentials")
-    # the bytes that tables and vectors were read from must still be those that were hashed
-    again = accounting.inventory(declared, files.read_artifacts(spark, root).where(F.col("path") != MANIFEST)).take(1)
-    _need(not again and files.stream_digest(os.path.join(root, MANIFEST)) == manifest_digest, "the package changed during verification")
     logical = logical_digest(manifest["release_id"], records, entities, instances, shard["digest"])
     details = ({"artifact_count": len(descriptors)}, {"record_count": n_records}, {"vector_shard_digest": shard["digest"]}, {"logical_release_digest": logical}, {}, {})
     report = {"release_id": manifest["release_id"], "release_manifest_digest": manifest_digest, "state": manifest["state"], "record_count": n_records, "artifact_count": len(descriptors), "vector_shard_digest": shard["digest"], "logical_release_digest": logical, "checks": [{"id": c, "status": "passed"} | d for c, d in zip(CHECKS, details)]}
-    return Release(manifest["release_id"], manifest_digest, manifest, by_path, records, instances, vectors, shard, shard["digest"], profile, report, work)
+    return Release(manifest["release_id"], manifest_digest, manifest, by_path, records, instances, vectors, shard, shard["digest"], profile, report, work, root)
 
 
 def _check_records(records: DataFrame, entities: DataFrame, actual: DataFrame, policy: Policy) -> int:

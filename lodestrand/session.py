@@ -7,8 +7,9 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes up to which a side may be broadcast; both are checked on the data before the hint is given.
 BROADCAST_ROWS = 200_000
@@ -79,11 +80,6 @@ class Workspace:
             pass
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the size, from file sizes; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's sizes of what the plan reads, added up; joins don't multiply them, and unknown sizes count nothing."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
@@ -97,19 +93,44 @@ def spread(df: DataFrame, each: int = 128 << 20, least: int | None = None) -> in
     return max(least, math.ceil(input_bytes(df) / each))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether df has at most so many rows, counted no further than the limit, and at most so many bytes by estimate.
-
-    The estimate of the optimizer may be far above the true size after filters; the count decides for narrow rows.
-    """
-    counted = df.limit(rows + 1).count()
-    return counted <= rows and (plan_bytes(df) <= size or counted * row_bytes(df) <= size)
+_WIDTHS = {"bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8, "int": 4, "float": 4, "date": 4, "boolean": 1, "smallint": 2, "tinyint": 1, "void": 0}
+
+
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """The size of a value as it is: strings and binaries by their length, nested values by all they hold; null counts 0."""
+    width = _WIDTHS.get(kind.simpleString())
+    if width is not None or isinstance(kind, T.DecimalType):
+        return F.lit(16 if width is None else width).cast("bigint")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        own = F.octet_length(value).cast("bigint") + 16
+    elif isinstance(kind, T.ArrayType):
+        inner = _WIDTHS.get(kind.elementType.simpleString())
+        own = F.size(value).cast("bigint") * inner if inner is not None else F.aggregate(value, F.lit(0).cast("bigint"), lambda n, x: n + value_bytes(x, kind.elementType))
+        own = own + 16
+    elif isinstance(kind, T.MapType):
+        own = value_bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + value_bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    elif isinstance(kind, T.StructType):
+        own = F.lit(16).cast("bigint")
+        for f in kind.fields:
+            own = own + value_bytes(value[f.name], f.dataType)
+    else:  # a type whose size isn't known counts as large
+        own = F.lit(BROADCAST_BYTES).cast("bigint")
+    return F.coalesce(own, F.lit(0).cast("bigint"))
+
+
+def measured(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[int, int]:
+    """Rows and bytes of df, by one job that goes no further than `rows` + 1 rows. Give it a written table where df is dear."""
+    size = F.lit(16).cast("bigint")
+    for f in df.schema.fields:
+        size = size + value_bytes(df[f.name], f.dataType)
+    found = df.select(size.alias("size")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return found[0], found[1]
 
 
-def row_bytes(df: DataFrame) -> int:
-    """A generous size of a row by its types; strings and nested values count 256 bytes."""
-    width = {"bigint": 8, "double": 8, "timestamp": 8, "int": 4, "float": 4, "date": 4, "boolean": 1, "smallint": 2, "tinyint": 1}
-    return sum(width.get(kind, 256) for _, kind in df.dtypes) + 16
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and at most so many bytes, both of the data themselves, not of an estimate."""
+    counted, held = measured(df, rows)
+    return counted <= rows and held <= size
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

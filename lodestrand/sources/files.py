@@ -53,6 +53,43 @@ def read_artifacts(spark: SparkSession, root: str, content: bool = False) -> Dat
     return found.select("path", F.octet_length("content").cast("bigint").alias("size"), texts.digest(F.col("content")).alias("digest"), *kept)
 
 
+def _place(path: str) -> tuple[pfs.FileSystem, str]:
+    """The file system of a path and the path in it; a path without scheme is local."""
+    return pfs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pfs.LocalFileSystem(), os.path.abspath(path))
+
+
+def copy_tree(spark: SparkSession, root: str, target: str, block: int = 8 << 20) -> DataFrame:
+    """Copies every file below root and gives path (relative), size and digest of the bytes that were written.
+
+    Each file is read once, in blocks, in a task of its own, so it may be of any size and what is hashed is what the copy
+    holds, whatever happens to the original meanwhile. Use the frame's rows from a written table: each computation copies.
+    """
+    store, name = _place(root)
+    name = name.rstrip("/")
+    found = [f for f in store.get_file_info(pfs.FileSelector(name, recursive=True)) if f.type == pfs.FileType.File]
+    paths = spark.createDataFrame([(f.path[len(name) + 1 :],) for f in found], "path string")
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        source, base = _place(root)
+        sink, to = _place(target)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                own, size, place = hashlib.sha256(), 0, f"{to}/{path}"
+                sink.create_dir(place.rpartition("/")[0], recursive=True)
+                part = f"{place}.{os.getpid()}.part"  # a task that is run again writes its own
+                with source.open_input_stream(f"{base.rstrip('/')}/{path}") as f, sink.open_output_stream(part) as out:
+                    while data := f.read(block):
+                        own.update(data)
+                        out.write(data)
+                        size += len(data)
+                sink.move(part, place)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([f"sha256:{own.hexdigest()}"])], names=["path", "size", "digest"])
+
+    return paths.repartition(max(1, min(len(found), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(copy, "path string, size bigint, digest string")
+
+
 def stream_digest(path: str, block: int = 1 << 20) -> str:
     """The digest of a file of any size, block by block."""
     import hashlib
@@ -108,8 +145,9 @@ def load_inventory(spark: SparkSession, rows: object) -> DataFrame:
 
 def read_document(path: str) -> dict:
     """A JSON file that holds one object."""
-    with open(path, encoding="utf-8") as f:
-        value = json.load(f)
+    store, name = _place(path)
+    with store.open_input_stream(name) as f:
+        value = json.loads(f.read().decode("utf-8"))
     if not isinstance(value, dict):
         raise ValueError(f"{path} holds no JSON object")
     return value
@@ -117,13 +155,18 @@ def read_document(path: str) -> dict:
 
 def write_document(value: object, path: str, once: bool = False) -> None:
     """A JSON document, by a temporary file that takes the target's place; once refuses a target that exists."""
-    if once and os.path.exists(path):
-        raise FileExistsError(path)
-    part = f"{path}.part"
+    part = f"{path}.{os.getpid()}.part"
     with open(part, "w", encoding="utf-8", newline="\n") as f:
         json.dump(value, f, indent=2, sort_keys=True)
         f.write("\n")
-    os.replace(part, path)
+    try:
+        if once:
+            os.link(part, path)  # fails where the target is there, in one step
+        else:
+            os.replace(part, path)
+    finally:
+        if os.path.exists(part):
+            os.unlink(part)
 
 
 def write_lines(df: DataFrame, path: str, order: str, compact: bool = True) -> int:

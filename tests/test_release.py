@@ -252,3 +252,15 @@ def test_evidence_of_replicates(spark, opened):
     agree, _, differs = evidence.compare(a, changed, c)
     assert not agree and [(r["request_id"], r["differs"]) for r in differs.collect()] == [("r1", ["next_cursor"])]
     assert evidence.evidence_json({"x": 0.1, "n": 1e21}) == '{"n":1000000000000000000000,"x":0.1}'
+
+
+def test_a_tree_is_copied_with_the_digests_of_the_copy(spark, tmp_path):
+    from lodestrand.sources import files
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "x.bin").write_bytes(b"x" * 100_000)
+    (tmp_path / "a" / "empty").write_bytes(b"")
+    rows = {r["path"]: r for r in files.copy_tree(spark, str(tmp_path / "a"), str(tmp_path / "to"), block=1000).collect()}
+    assert set(rows) == {"b/x.bin", "empty"} and rows["b/x.bin"]["size"] == 100_000
+    for path, r in rows.items():
+        assert r["digest"] == files.stream_digest(str(tmp_path / "to" / path)) == files.stream_digest(str(tmp_path / "a" / path))

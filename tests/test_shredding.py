@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from conftest import duck, rows
 from pyspark.sql import functions as F
 
 from lodestrand.operators import shredding
@@ -87,8 +88,9 @@ def test_entities_link_to_the_object_around(spark):
     df = spark.createDataFrame([(1, body), (1, body)], "raw_id long, body string").withColumn("path", F.lit("clash"))
     tree = shredding.adjacency(df, "raw_id", "body")
     got = shredding.entity(tree, "raw_id", "/artifacts/[0-9]+", ["path", "size"]).orderBy("node").collect()
-    assert [tuple(r) for r in got] == [(1, "/artifacts/0", "", "p", "1.5"), (1, "/artifacts/1", "", None, None)]
-    assert [tuple(r) for r in shredding.entity(tree, "raw_id", ".*/built", ["stage"]).collect()] == [(1, "/artifacts/0/built", "/artifacts/0", "s")]
+    # both bodies count, each by itself
+    assert [tuple(r) for r in got] == [(1, "/artifacts/0", "", "p", "1.5")] * 2 + [(1, "/artifacts/1", "", None, None)] * 2
+    assert [tuple(r) for r in shredding.entity(tree, "raw_id", ".*/built", ["stage"]).collect()] == [(1, "/artifacts/0/built", "/artifacts/0", "s")] * 2
 
 
 def test_long_paths_come_in_small_batches(spark):
@@ -150,3 +152,16 @@ def test_every_object_and_scalar_is_in_one_table(spark, tmp_path):
     pivoted = sorted(((r["raw_id"], r["node"], columns(r)) for name, rows in tables.items() if name != "p5_others" for r in rows), key=str)
     known = {k for kinds, _ in shredding.ENTITIES.values() for k in kinds}
     assert pivoted == sorted(((i, n, m) for i, objs, _ in held for n, _, k, m in objs if k in known), key=str)
+
+
+def test_objects_of_one_path_or_key_are_not_merged(spark):
+    bodies = [(1, '{"a/b":{"x":1},"a":{"b":{"x":2}}}'), (2, '{"o":{"x":1,"y":9}}'), (2, '{"o":{"x":5,"y":2}}')]
+    tree = shredding.adjacency(spark.createDataFrame(bodies, "key long, body string"), "key", "body")
+    got = sorted((r["key"], r["node"], r["x"], r["y"]) for r in shredding.entity(tree, "key", ".+", ["x", "y"]).where("x is not null").collect())
+    assert got == [(1, "/a/b", "1", None), (1, "/a/b", "2", None), (2, "/o", "1", "9"), (2, "/o", "5", "2")]
+
+
+def test_entity_tables_equal_their_sql(spark, small):
+    con = duck(small)
+    for name in ("p5_found", "p5_checks", "p5_others", "p5_members"):
+        assert rows(shredding.QUERIES[name](spark, small)) == rows(con.execute(shredding.ORACLES[name]).df()), name

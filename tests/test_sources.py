@@ -176,3 +176,17 @@ def test_environments_and_incidents(tmp_path):
     (tmp_path / "log").write_text(text)
     with pytest.raises(ValueError):
         log.entries()
+
+
+def test_broadcasts_are_checked_by_true_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from lodestrand import session
+
+    wide = spark.range(20_000, numPartitions=8).select("id", F.array_repeat(F.lit(1.5), 131_072).alias("v"))  # 1 MB a row
+    rows, held = session.measured(wide)
+    assert rows == 20_000 and held > 20_000 << 20 and not session.small(wide)
+    nested = spark.range(100).select(F.array(F.struct(F.lit("x" * 1000).alias("s"), F.create_map(F.lit("k"), F.lit("y" * 500)).alias("m"))).alias("a"))
+    assert 100 * 1500 < session.measured(nested)[1] < 100 * 2000 and session.small(nested)
+    assert not session.small(spark.range(11), rows=10) and session.measured(spark.range(0))[0] == 0
+    assert session.measured(spark.sql("select null as n, cast(null as string) as s, cast(null as array<string>) as a"))[1] < 64
