@@ -162,12 +162,16 @@ def _by_kind(batch: pa.RecordBatch) -> dict[tuple[str, int], np.ndarray]:
     return {(names[c >> 32], int(c & 0xFFFFFFFF)): np.flatnonzero(code == c) for c in np.unique(code).tolist()}
 
 
-def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0, visits: int = VISITS, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE, beam: int = BEAM, least_share: float = 0.0, margin: float = MARGIN, again: bool = False, hubs: bool = False) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0, visits: int = VISITS, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE, beam: int = BEAM, least_share: float = 0.0, margin: float = MARGIN, again: bool = False, hubs: bool = False, then: tuple | None = None) -> DataFrame:
     """src, dst, sim: for every vector about its k most similar others of the same kind, found in up to `visits` shards.
 
     least_share: share of a kind's cells that are visited at least, however many there are, whatever the margin. again:
     a shard's own rows are searched for in the finished graph, not only met on insertion. hubs: each own row comes with
-    the node of the graph's highest layer that it met and that reaches the floor, beside its k best.
+    the node of the graph's highest layer that it met and that reaches the floor, beside its k best, and a column hub tells
+    these rows from the others.
+
+    visits: 0 keeps every row in its own shard. then: a function of a shard's src, dst and sim that gives the table to
+    return instead, and its schema; for visits 0.
 
     vectors has id (bigint, unique), kind (string: vectors of one kind are of one length and compared) and vector
     (float32 little-endian bytes, valid). Similarities below floor are left out; sim is the cosine in double precision.
@@ -175,16 +179,17 @@ def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0,
     centroids are fitted on a sample, of a bounded size; every row is indexed and searched for.
     """
     spark = vectors.sparkSession
+    schema = then[1] if then else "src bigint, dst bigint, sim double" + ", hub boolean" * hubs
     found = vectors.groupBy("kind", F.octet_length("vector").alias("bytes")).agg(F.count("*").alias("n")).limit(KINDS + 1).collect()
     if len(found) > KINDS:
         raise ValueError(f"more than {KINDS} kinds of vectors")
     sizes = {(r["kind"], r["bytes"]): r["n"] for r in found}
     if not sizes:
-        return spark.createDataFrame([], "src bigint, dst bigint, sim double")
+        return spark.createDataFrame([], schema)
     grown = trees(vectors, sizes, seed, shard_rows, sample)
     # how many rows each cell has and how many visit it, so that cells that stay too large are cut by id and those that many visit are copied
     numbers = {kind: i for i, kind in enumerate(sorted(sizes, key=str))}
-    plans = {kind: (numbers[kind], tree, 1 if tree is None else max(visits, math.ceil(least_share * len(tree.cells)))) for kind, tree in grown.items()}
+    plans = {kind: (numbers[kind], tree, 1 if tree is None else max(visits, 1, math.ceil(least_share * len(tree.cells)))) for kind, tree in grown.items()}
     shared = spark.sparkContext.broadcast(plans)  # at most CELLS centroids in all
 
     def visited(kind: tuple[str, int], blobs: pa.Array) -> tuple[int, np.ndarray]:
@@ -218,7 +223,7 @@ def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0,
         own = np.array([counts.get(number << 33 | c << 1 | 1, 0) for c in range(cells)])
         coming = np.array([counts.get(number << 33 | c << 1, 0) for c in range(cells)])
         salts = np.maximum(1, -(-own // MOST_ROWS))
-        coming = coming + np.where(salts > 1, own, 0)
+        coming = coming + np.where(salts > 1, own, 0) if visits else np.zeros(cells, np.int64)
         parted[kind] = salts, np.maximum(1, -(-coming // VISITORS))
     sent = spark.sparkContext.broadcast(parted)
 
@@ -237,19 +242,22 @@ def nearest(vectors: DataFrame, k: int = 10, floor: float = -1.0, seed: int = 0,
                     cell = near[there, j]
                     for s in range(int(salts[cell].max(initial=0))):
                         own = (j == 0) & (salt[there] % salts[cell] == s)
+                        if not (visits or own.any()):
+                            continue
                         for c in range(int(copies[cell].max(initial=0))):  # a shard's rows are in each of its copies
-                            goes = (s < salts[cell]) & (c < copies[cell]) & (own | (turn[there] % copies[cell] == c))
+                            goes = (s < salts[cell]) & (c < copies[cell]) & (own | ((visits > 0) & (turn[there] % copies[cell] == c)))
                             rows.append(at[there[goes]]), shards.append((c << 44 | s << 32) + (cell[goes] << 10 | number)), owns.append(own[goes])
                 rows = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards)), pa.array(np.concatenate(owns)), batch.column("id").take(rows), batch.column("vector").take(rows)], names=["shard", "own", "id", "vector"])
 
     def look(key: tuple, group: pa.Table) -> pa.Table:
-        return _shard(group, k, floor, seed, beam, again, hubs, key[0].as_py() >> 44 == 0)
+        found = _shard(group, k, floor, seed, beam, again, hubs, key[0].as_py() >> 44 == 0)
+        return found if then is None else then[0](*(found.column(i).to_numpy() for i in range(3)))
 
     shards = sum(int((salts * copies).sum()) for salts, copies in parted.values())
     tasks = 4 * shards  # shards are few rows and much work: more places than shards keep them from meeting in one task
     spread = vectors.select("id", "kind", "vector").mapInArrow(place, "shard bigint, own boolean, id bigint, vector binary")
-    return spread.repartition(tasks, "shard").groupBy("shard").applyInArrow(look, "src bigint, dst bigint, sim double")
+    return spread.repartition(tasks, "shard").groupBy("shard").applyInArrow(look, schema)
 
 
 def _shard(group: pa.Table, k: int, floor: float, seed: int, beam: int, again: bool, hubs: bool, first: bool) -> pa.Table:
@@ -261,7 +269,7 @@ def _shard(group: pa.Table, k: int, floor: float, seed: int, beam: int, again: b
     v = _matrix(group.column("vector").take(pa.array(order)))
     n = int(own.sum())
     if not n or (n == len(v) == 1):
-        return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        return _pairs(ids, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool) if hubs else None)
     graph = Hnsw(v[:n], seed, k)
     parts = []
     if first:
@@ -270,15 +278,21 @@ def _shard(group: pa.Table, k: int, floor: float, seed: int, beam: int, again: b
         if again:
             there, _ = graph.search(v[:n], k + 1, beam)
             parts.append((np.repeat(np.arange(n), k + 1), there.ravel()))
-        if hubs:
-            parts.append(graph.hubs(floor))
     there, _ = graph.search(v[n:], k, beam)
     parts.append((np.repeat(np.arange(n, len(v)), k), there.ravel()))
     pair = np.unique(np.concatenate([src[dst >= 0] * n + dst[dst >= 0] for src, dst in parts]))
+    if hubs:
+        src, dst = graph.hubs(floor) if first else (pair[:0], pair[:0])
+        named = src * n + dst
+        pair = np.concatenate([np.setdiff1d(pair, named), named])
     src, dst = pair // n, pair % n
     exact = np.concatenate([np.einsum("ij,ij->i", v[src[i : i + 65536]].astype(np.float64), v[dst[i : i + 65536]].astype(np.float64)) for i in range(0, len(src), 65536)]) if len(src) else np.zeros(0)
     good = (exact >= floor) & (ids[src] != ids[dst])
-    return pa.table({"src": ids[src[good]], "dst": ids[dst[good]], "sim": exact[good]})
+    return _pairs(ids, src[good], dst[good], exact[good], (np.arange(len(pair)) >= len(pair) - len(named))[good] if hubs else None)
+
+
+def _pairs(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, sim: np.ndarray, hub: np.ndarray | None) -> pa.Table:
+    return pa.table({"src": ids[src], "dst": ids[dst], "sim": sim} | ({} if hub is None else {"hub": hub}))
 
 
 def merge(found: DataFrame, k: int = 10, both_ways: bool = False) -> DataFrame:

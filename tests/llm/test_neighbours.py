@@ -176,10 +176,12 @@ def test_clusters_of_near_vectors(spark, monkeypatch, rows_of):
     assert same(np.array([found[i] for i in range(len(v))])) == same(own)
 
 
-def test_markov_separates_loosely_linked_groups(spark):
+@pytest.mark.parametrize("block", [clusters.BLOCK, 0])
+def test_markov_separates_loosely_linked_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(clusters, "BLOCK", block)
     edges = [(a, b, 0.9) for g in (range(5), range(5, 10)) for a in g for b in g if a != b] + [(4, 5, 0.1), (5, 4, 0.1)]
     df = spark.createDataFrame(edges, "src long, dst long, sim double")
-    labels = {r["node"]: r["label"] for r in clusters.markov(df, Workspace(spark, "t"), "m")[0].collect()}
+    labels = {r["node"]: r["label"] for r in clusters.markov(df, Workspace(spark, "t"), "m").collect()}
     assert len({labels[i] for i in range(5)}) == 1 == len({labels[i] for i in range(5, 10)}) and labels[0] != labels[9]
 
 
@@ -232,15 +234,29 @@ def test_visits_grow_with_the_cells(spark, small, monkeypatch):
     assert asked["least_share"] == neighbours.WIDE_SHARE
 
 
-def test_markov_ends_or_says_so(spark):
+@pytest.mark.parametrize("block", [clusters.BLOCK, 0])
+def test_markov_ends_or_says_so(spark, monkeypatch, block):
+    monkeypatch.setattr(clusters, "BLOCK", block)
     chain = [(a, b, 0.9) for a in range(40) for b in (a - 1, a + 1) if 0 <= b < 40]
     df = spark.createDataFrame(chain, "src long, dst long, sim double")
-    labels = {r["node"]: r["label"] for r in clusters.markov(df, Workspace(spark, "t"), "m")[0].collect()}
+    labels = {r["node"]: r["label"] for r in clusters.markov(df, Workspace(spark, "t"), "m").collect()}
     assert len(labels) == 40 and all(labels[x] == x for x in labels.values())
-    with pytest.raises(RuntimeError):
+    with pytest.raises(Exception, match="still moves"):
         clusters.markov(df, Workspace(spark, "t"), "m", rounds=1)
 
 
+def test_blocks_and_joins_give_the_same_labels(spark, monkeypatch):
+    v, _ = grouped(20, 10, seed=4)
+    src, dst, sim = hnsw.Hnsw(v, 1, 3).met()
+    near = sim > 0.7
+    df = spark.createDataFrame(list(zip(src[near].tolist(), dst[near].tolist(), sim[near].astype(float).tolist())), "src long, dst long, sim double")
+    both = []
+    for block in (clusters.BLOCK, 0):
+        monkeypatch.setattr(clusters, "BLOCK", block)
+        both.append({r["node"]: (r["label"], round(r["flow"], 4)) for r in clusters.markov(df, Workspace(spark, "t"), "m").collect()})
+    assert both[0] == both[1] and len(set(both[0].values())) > 10
+
+
 def test_roots_of_long_paths_and_circles(spark):
     to = {0: 5, 5: 9, 9: 5, **{i: i - 1 for i in range(11, 60)}, 10: 10}
     df = spark.createDataFrame(list(to.items()), "node long, to long")
