@@ -98,3 +98,110 @@ def environment() -> dict:
     import pyspark
 
     return {"python": platform.python_version(), "os": platform.system(), "machine": platform.machine(), "pyspark": pyspark.__version__, "pyarrow": pyarrow.__version__, "numpy": numpy.__version__}
+
+
+class EvidenceRefused(ValueError):
+    """Evidence that can't be formed from what is given."""
+
+
+def validation_evidence(report: Mapping[str, object], bundle_id: str, environment_label: str, executed_at: str) -> tuple[dict, dict]:
+    """The validation bundle and the run record of one verification, as documents outside the package."""
+    if not (bundle_id.strip() and environment_label.strip()):
+        raise EvidenceRefused("bundle id and environment label must be given")
+    digest, checks = report.get("release_manifest_digest"), report.get("checks")
+    if not isinstance(digest, str) or not isinstance(checks, list):
+        raise EvidenceRefused("the report has no digest or no checks")
+    bundle = {"bundle_id": bundle_id, "release_digest": digest, "checks": checks, "waivers": [], "review_status": "passed; M1.8 maintainer decision pending"}
+    inputs = "package directory and embedded schemas only"
+    run = {"run_id": f"{bundle_id}-clean-room", "environment_label": environment_label, "executed_at": executed_at, "release_id": report.get("release_id"), "release_manifest_digest": digest, "reader": __name__, "reader_inputs": inputs, "result": "passed", "checks": checks}
+    return bundle, run
+
+
+def write_validation(report: Mapping[str, object], bundle_path: str, run_path: str, bundle_id: str, environment_label: str, package: str = "") -> None:
+    """Writes both documents; the package is never touched, so a target inside it is refused."""
+    from datetime import datetime, timezone
+
+    from lodestrand.plans.contracts import utc
+    from lodestrand.sources.files import write_document
+
+    for path in (bundle_path, run_path):
+        if package and os.path.realpath(path).startswith(os.path.realpath(package) + os.sep):
+            raise EvidenceRefused(f"{path} lies in the package")
+    documents = validation_evidence(report, bundle_id, environment_label, utc(datetime.now(timezone.utc).isoformat()))
+    for path, document in zip((bundle_path, run_path), documents):
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        write_document(document, path)
+
+
+class Oracle:
+    """Exact rankings of a package, computed without Spark and without the engine's operators, to compare results with.
+
+    It reads the packaged files itself, block by block, and folds products in binary32 one dimension after the other.
+    """
+
+    def __init__(self, package: str) -> None:
+        import numpy as np
+
+        load = lambda p: json.load(open(os.path.join(package, p), encoding="utf-8"))  # noqa: E731, SIM115
+        lines = lambda p: [json.loads(x) for x in open(os.path.join(package, p), encoding="utf-8") if x.strip()]  # noqa: E731, SIM115
+        shard = load("embeddings/vector-shard-manifest.json")
+        at = {v: int(k) for k, v in shard["row_mapping"].items()}
+        rows = {i["record_id"]: at[i["instance_id"]] for i in lines("embeddings/embedding-instances.jsonl")}
+        self.vectors = np.fromfile(os.path.join(package, "embeddings/vectors.float32le"), "<f4").reshape(-1, shard["dimension"])
+        self.records = {r["record_id"]: r for r in lines("records/genome-record-versions.jsonl") if r["record_id"] in rows}
+        self.rows, self.dimension = rows, shard["dimension"]
+
+    def ranking(self, query_record_id: str) -> list[tuple[str, float]]:
+        """All records but by score, greatest first, equal ones by id; a score is the binary32 fold as a double."""
+        import numpy as np
+
+        names = sorted(self.records)
+        held = self.vectors[[self.rows[n] for n in names]]
+        query = self.vectors[self.rows[query_record_id]]
+        total = np.zeros(len(names), np.float32)
+        for j in range(self.dimension):
+            total = total + held[:, j] * query[j]
+        return sorted(zip(names, map(float, total)), key=lambda p: (-p[1], p[0]))
+
+    def differs(self, query_record_id: str, rows: Iterable[Mapping[str, object]], skip: int = 0) -> list[str]:
+        """What a page of results gets wrong: ids, scores (to the bit) and their order, from place `skip` on."""
+        found = []
+        for i, (row, (name, score)) in enumerate(zip(rows, self.ranking(query_record_id)[skip:])):
+            if row["record_id"] != name:
+                found.append(f"{i + skip}: {row['record_id']} stands where {name} belongs")
+            elif row["score"] != score:
+                found.append(f"{i + skip}: the score of {name} is {row['score']!r}, not {score!r}")
+        return found
+
+
+def environment_lock(path: str, once: bool = True) -> dict:
+    """Writes the runtime of a study; with once, a lock that is there must be of the same runtime."""
+    from lodestrand.sources.files import read_document, write_document
+
+    own = environment()
+    if once and os.path.exists(path):
+        held = read_document(path)
+        if held != own:
+            raise EvidenceRefused(f"{path} locks another runtime: {sorted(k for k in own.keys() | held.keys() if own.get(k) != held.get(k))}")
+        return held
+    write_document(own, path)
+    return own
+
+
+def pinned_commit(root: str) -> str:
+    """The commit that a working copy stands at, read from its files: HEAD, a loose reference or the packed ones."""
+    git = os.path.join(root, ".git")
+    read = lambda p: open(p, encoding="utf-8").read().strip()  # noqa: E731, SIM115
+    try:
+        head = read(os.path.join(git, "HEAD"))
+        if not head.startswith("ref: "):
+            return head
+        name = head.removeprefix("ref: ")
+        if os.path.exists(os.path.join(git, name)):
+            return read(os.path.join(git, name))
+        for line in read(os.path.join(git, "packed-refs")).splitlines():
+            if line.endswith(" " + name):
+                return line.split(" ")[0]
+    except OSError as e:
+        raise EvidenceRefused(f"{root} is no working copy") from e
+    raise EvidenceRefused(f"{name} has no commit")

@@ -13,7 +13,7 @@ import os
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.functions import floats
@@ -27,6 +27,7 @@ MANIFEST = "release-manifest.json"
 RECORDS, ENTITIES = "records/genome-record-versions.jsonl", "records/atlas-entities.jsonl"
 VECTORS, SHARD, INSTANCES = "embeddings/vectors.float32le", "embeddings/vector-shard-manifest.json", "embeddings/embedding-instances.jsonl"
 CANONICAL, STAGES, PROFILES = "records/canonical/", "provenance/stages/", "profiles/"
+SOURCE, BUILDS = "provenance/source/source-provenance.json", "provenance/build/"
 LINES_TYPE, JSON_TYPE, VECTOR_TYPE = "application/x-ndjson", "application/json", "application/octet-stream"
 MANIFEST_NEEDED = {"release_id", "schema_version", "state", "scope", "licenses", "artifacts", "validation"}
 MANIFEST_ALSO = {"created_at", "base_release", "citation"}
@@ -55,6 +56,9 @@ class Policy:
     lifecycle_state: str | None = "eligible"
     namespace: str | None = None  # record ids are namespace:accession:canonicalization_id
     distribution: str | None = None
+    license_scope: str | None = None  # of the source provenance's license notice
+    environment: str | None = None  # id that plugin, environment declaration and build manifest must agree on
+    stages: tuple[str, ...] = ()  # names of stage envelopes that must be there
     profile: dict | None = None  # leaves that a profile declaration must have, of those that Release.profile names
 
 
@@ -207,7 +211,8 @@ def verify(spark: SparkSession, root: str, policy: Policy = Policy()) -> Release
     _check_instances(instances, records, shard, n_records)
     profile = _profile(root, by_path, shard)
     _need(profile is None or policy.profile is None or policy.profile.items() <= profile.items(), "the profile declaration is not the expected one")
-    _check_stages(actual)
+    _check_stages(actual, policy)
+    _check_provenance(root, by_path, shard, policy)
     _need(not accounting.credential_faults(actual).take(1), "the package holds what looks like credentials")
     logical = logical_digest(manifest["release_id"], records, entities, instances, shard["digest"])
     details = ({"artifact_count": len(descriptors)}, {"record_count": n_records}, {"vector_shard_digest": shard["digest"]}, {"logical_release_digest": logical}, {}, {})
@@ -215,14 +220,19 @@ def verify(spark: SparkSession, root: str, policy: Policy = Policy()) -> Release
     return Release(manifest["release_id"], manifest_digest, manifest, by_path, records, instances, vectors, shard, shard["digest"], profile, report, work, root)
 
 
-def _check_records(records: DataFrame, entities: DataFrame, actual: DataFrame, policy: Policy) -> int:
+def record_counts(records: DataFrame, policy: Policy) -> DataFrame:
+    """One row: n, distinct ids, and how many records are incomplete or not of the policy's state, canonicalisation or form."""
     complete = F.lit(True)
     for name in RECORD_FIELDS:
         complete = complete & F.coalesce(F.col(name) != "", F.lit(False))
     state = F.lit(True) if policy.lifecycle_state is None else F.col("lifecycle_state") == policy.lifecycle_state
     canon = F.lit(True) if policy.canonicalization_id is None else F.col("canonicalization_id") == policy.canonicalization_id
     form = F.lit(True) if policy.namespace is None else F.col("record_id").startswith(policy.namespace + ":") & F.col("record_id").endswith(F.concat(F.lit(":"), F.col("canonicalization_id")))
-    counted = records.agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("ids"), *(F.count_if(~F.coalesce(c, F.lit(False))).alias(k) for k, c in (("complete", complete), ("state", state), ("canon", canon), ("form", form)))).first()
+    return records.agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("ids"), *(F.count_if(~F.coalesce(c, F.lit(False))).alias(k) for k, c in (("complete", complete), ("state", state), ("canon", canon), ("form", form))))
+
+
+def _check_records(records: DataFrame, entities: DataFrame, actual: DataFrame, policy: Policy) -> int:
+    counted = record_counts(records, policy).first()
     _need(counted["n"] > 0 and policy.records in (None, counted["n"]), "the package does not hold the expected number of records")
     _need(counted["complete"] == 0, "a record is not of the contract")
     _need(counted["state"] == 0 and counted["canon"] == 0, "a record does not satisfy the eligibility policy")
@@ -238,10 +248,15 @@ def _check_records(records: DataFrame, entities: DataFrame, actual: DataFrame, p
     return counted["n"]
 
 
-def _check_instances(instances: DataFrame, records: DataFrame, shard: dict, n: int) -> None:
+def instance_counts(instances: DataFrame, profile_id: Column, shard_digest: Column, rows: Column) -> DataFrame:
+    """One row: n, how many don't refer to the shard and a row of it, distinct records and distinct rows."""
     ref = F.col("vector_reference")
-    good = F.col("instance_id").isNotNull() & (F.col("profile_id") == shard["profile_id"]) & (ref.shard_digest == shard["digest"]) & ref.row.between(0, n - 1)
-    counted = instances.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(good, F.lit(False))).alias("bad"), F.count_distinct("record_id").alias("records"), F.count_distinct(ref.row).alias("rows")).first()
+    good = F.col("instance_id").isNotNull() & (F.col("profile_id") == profile_id) & (ref.shard_digest == shard_digest) & ref.row.between(F.lit(0), rows - 1)
+    return instances.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(good, F.lit(False))).alias("bad"), F.count_distinct("record_id").alias("records"), F.count_distinct(ref.row).alias("rows"))
+
+
+def _check_instances(instances: DataFrame, records: DataFrame, shard: dict, n: int) -> None:
+    counted = instance_counts(instances, F.lit(shard["profile_id"]), F.lit(shard["digest"]), F.lit(n)).first()
     _need(counted["bad"] == 0, "an instance does not refer to the verified shard")
     _need((counted["n"], counted["records"], counted["rows"]) == (n, n, n), "instances, records and rows do not match one to one")
     _need(not instances.join(records, "record_id", "left_anti").take(1), "an instance names an unknown record")
@@ -266,7 +281,35 @@ def _profile(root: str, by_path: dict, shard: dict) -> dict | None:
     return own
 
 
-def _check_stages(actual: DataFrame) -> None:
+def _leaf(document: object, path: str) -> object:
+    """A value within a document by its member names; None where there is none."""
+    for step in path.split("."):
+        document = document.get(step) if isinstance(document, dict) else None
+    return document
+
+
+def _check_provenance(root: str, by_path: dict, shard: dict, policy: Policy) -> None:
+    """The license scope, and that plugin, environment and build manifest name the same environment and profile."""
+    if policy.license_scope is not None:
+        _need(_leaf(_document(root, SOURCE), "license_notice.scope") == policy.license_scope, "the license scope is not the approved one")
+    if policy.environment is None:
+        return
+    declared = {p: _document(root, p) for p in by_path if p.startswith(PROFILES) and p.endswith(".json")}
+    plugins = [d for d in declared.values() if _leaf(d, "determinism.declaration_id") is not None]
+    _need(bool(plugins) and all(_leaf(d, "determinism.declaration_id") == policy.environment for d in plugins), "the plugin does not declare the approved environment")
+    own = declared.get(f"{PROFILES}{policy.environment}.json")
+    _need(_leaf(own, "execution_environment_id") == policy.environment, "the environment declaration does not agree with the plugin")
+    builds = [_document(root, p) for p in by_path if p.startswith(BUILDS) and p.endswith(".json")]
+    _need(bool(builds), "the package lacks a build manifest")
+    for build in builds:
+        _need(build.get("embedding_profiles") == [shard["profile_id"]], "the build manifest does not select the shard's profile alone")
+        chosen = build.get("plugins")
+        _need(isinstance(chosen, list) and len(chosen) == 1 and _leaf(chosen[0], "execution_environment.id") == policy.environment, "the build manifest does not select the approved environment")
+
+
+def _check_stages(actual: DataFrame, policy: Policy) -> None:
+    wanted = {f"{STAGES}{name}-stage-envelope.json" for name in policy.stages}
+    _need(not wanted or wanted == {r["path"] for r in actual.where(F.col("path").isin(*wanted)).select("path").collect()}, "a stage envelope is missing")
     envelope = F.try_parse_json(F.col("content").cast("string"))
     outcome = F.try_variant_get(envelope, "$.outcome", "string")
     stages = actual.where(F.col("path").startswith(STAGES) | F.col("path").endswith("-stage-envelope.json"))

@@ -13,13 +13,14 @@ from lodestrand.streaming import ingest
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Customers as the expected keys, the keys of orders as the observed ones, some of them strangers."""
-    expected = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    """Customers and some that never order as the expected keys, the keys of orders as the observed ones, some of them strangers."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("key"))
+    expected = customers.unionByName(customers.where("key % 50 = 0").select((F.col("key") + 20_000_000).alias("key")))
     stranger = F.when(F.col("o_orderkey") % 100 == 0, 10_000_000).otherwise(0)
     return expected, table(spark, sf_dir, "orders").select((F.col("o_custkey") + stranger).cast("bigint").alias("key"))
 
 
-ACCOUNT_SQL = """WITH e AS (SELECT c_custkey::BIGINT AS key FROM customer), o AS (SELECT (o_custkey + CASE WHEN o_orderkey % 100 = 0 THEN 10000000 ELSE 0 END)::BIGINT AS key FROM orders) """
+ACCOUNT_SQL = """WITH e AS (SELECT c_custkey::BIGINT AS key FROM customer UNION ALL SELECT c_custkey::BIGINT + 20000000 FROM customer WHERE c_custkey % 50 = 0), o AS (SELECT (o_custkey + CASE WHEN o_orderkey % 100 = 0 THEN 10000000 ELSE 0 END)::BIGINT AS key FROM orders) """
 KINDS = {
     "registered": "SELECT key FROM e INTERSECT SELECT key FROM o",
     "missing": "SELECT key FROM e EXCEPT SELECT key FROM o",

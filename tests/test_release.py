@@ -264,3 +264,123 @@ def test_a_tree_is_copied_with_the_digests_of_the_copy(spark, tmp_path):
     assert set(rows) == {"b/x.bin", "empty"} and rows["b/x.bin"]["size"] == 100_000
     for path, r in rows.items():
         assert r["digest"] == files.stream_digest(str(tmp_path / "to" / path)) == files.stream_digest(str(tmp_path / "a" / path))
+
+
+def test_every_declared_table_can_be_read(opened):
+    handle, target = opened
+    assert handle.table(release.ENTITIES).count() == N
+    named = {r[0] for r in handle.table(release.ENTITIES).selectExpr("variant_get(raw, '$.entity_id', 'string')").collect()}
+    assert named == {f"asm:G{i}" for i in range(N)}
+    with pytest.raises(KeyError):
+        handle.table("records/none.jsonl")
+    with pytest.raises(ValueError):
+        handle.table(release.SHARD)
+
+
+def test_a_change_between_hash_and_parse_is_harmless(spark, opened, tmp_path, monkeypatch):
+    """The package is emptied as soon as it was copied; all that follows reads the copy."""
+    target = str(tmp_path / "p")
+    shutil.copytree(opened[1], target)
+    old = files.copy_tree
+
+    def then_gone(spark, root, to, **more):
+        rows = old(spark, root, to, **more).collect()
+        shutil.rmtree(root)
+        return spark.createDataFrame([tuple(r) for r in rows], "path string, size bigint, digest string")
+
+    monkeypatch.setattr(files, "copy_tree", then_gone)
+    handle = release.verify(spark, target, POLICY)
+    assert handle.report["record_count"] == N and handle.table(release.ENTITIES).count() == N and handle.vectors.count() == N
+
+
+def test_presenter_shows_the_whole_contract(opened):
+    handle, _ = opened
+    result = QueryCore(handle).execute(json.dumps(request(opened)))
+    shown = adapters.Presenter().present_result(result)
+    assert set(shown) == {"presentation_kind", "schema_version", "release", "query_context", "provenance", "evidence_status", "warnings", "rows", "next_cursor", "annotation_assertions", "relation_lineage", "projection"}
+    assert set(shown["release"]) == {"release_id", "release_digest", "integrity", "scope", "citation", "compatibility"} and len(shown["rows"]) == len(result["rows"])
+    error = QueryCore(handle).execute("{}")
+    assert set(adapters.Presenter().present_result(error)) == {"presentation_kind", "schema_version", "error", "warnings", "evidence_note"}
+    for broken in ({"outcome": "success"}, {"outcome": "x", "warnings": []}, result | {"rows": [1]}, result | {"context": None}):
+        with pytest.raises(adapters.PresentationError):
+            adapters.Presenter().present_result(broken)
+
+
+def test_the_oracle_agrees_and_finds_faults(opened):
+    handle, target = opened
+    oracle = evidence.Oracle(target)
+    rows = walk(QueryCore(handle), request(opened, pagination={"limit": 4, "cursor": None, "ordering_version": R.ORDERING}))
+    assert len(rows) == N and oracle.differs("asm:G2.1:canon-v1", rows) == []
+    assert len(oracle.differs("asm:G2.1:canon-v1", [rows[1], rows[0] | {"score": 0.5}])) == 2
+    assert len(oracle.differs("asm:G2.1:canon-v1", [rows[0] | {"score": 0.5}])) == 1
+
+
+def test_validation_evidence_stays_outside_the_package(opened, tmp_path):
+    handle, target = opened
+    bundle, run = str(tmp_path / "e" / "bundle.json"), str(tmp_path / "e" / "run.json")
+    evidence.write_validation(handle.report, bundle, run, "b1", "clean", target)
+    held = files.read_document(bundle), files.read_document(run)
+    assert held[0]["release_digest"] == handle.digest == held[1]["release_manifest_digest"] and held[1]["run_id"] == "b1-clean-room"
+    for report, path, name in ((handle.report, os.path.join(target, "x.json"), "b"), ({}, bundle, "b"), (handle.report, bundle, " ")):
+        with pytest.raises(evidence.EvidenceRefused):
+            evidence.write_validation(report, path, run, name, "clean", target)
+
+
+@pytest.mark.parametrize("change, fault", [({}, None), ({"scope": "other"}, "license"), ({"plugin": "e2"}, "plugin"), ({"own": "e2"}, "environment declaration"), ({"build": "e2"}, "build manifest does not select the approved"), ({"profiles": ["q"]}, "profile alone"), ({"stage": "x"}, "stage envelope")])
+def test_license_environment_and_stages(spark, base, tmp_path, change, fault):
+    root = str(tmp_path / "w")
+    shutil.copytree(base[0], root)
+    write(root, release.SOURCE, json.dumps({"license_notice": {"scope": change.get("scope", "research")}}))
+    write(root, "profiles/plugin.json", json.dumps({"determinism": {"declaration_id": change.get("plugin", "e1")}}))
+    write(root, "profiles/e1.json", json.dumps({"execution_environment_id": change.get("own", "e1")}))
+    write(root, "provenance/build/m.json", json.dumps({"embedding_profiles": change.get("profiles", [PROFILE]), "plugins": [{"execution_environment": {"id": change.get("build", "e1")}}]}))
+    package = str(tmp_path / "p")
+    builder.assemble(spark, root, package, "release-9", POLICY)
+    stages = tuple(f.removesuffix("-stage-envelope.json") for f in os.listdir(os.path.join(package, release.STAGES)))[:1]
+    policy = release.Policy(license_scope="research", environment="e1", stages=(change["stage"],) if "stage" in change else stages)
+    if fault is None:
+        assert release.verify(spark, package, policy).report["record_count"] == N
+    else:
+        with pytest.raises(release.ReleaseRefused, match=fault):
+            release.verify(spark, package, policy)
+
+
+def test_locks_and_pins(tmp_path):
+    lock = str(tmp_path / "lock.json")
+    held = evidence.environment_lock(lock)
+    assert evidence.environment_lock(lock) == held
+    files.write_document(held | {"python": "2.0"}, lock)
+    with pytest.raises(evidence.EvidenceRefused, match="python"):
+        evidence.environment_lock(lock)
+    git = tmp_path / ".git"
+    git.mkdir()
+    (git / "HEAD").write_text("ref: refs/heads/main\n")
+    (git / "packed-refs").write_text("# pack\nabc refs/heads/main\n")
+    assert evidence.pinned_commit(str(tmp_path)) == "abc"
+    (git / "HEAD").write_text("def\n")
+    assert evidence.pinned_commit(str(tmp_path)) == "def"
+    with pytest.raises(evidence.EvidenceRefused):
+        evidence.pinned_commit(str(tmp_path / "none"))
+
+
+def test_command_line(base, opened, tmp_path, capsys):
+    from lodestrand.__main__ import main
+
+    asked = tmp_path / "request.json"
+    asked.write_text(json.dumps(request(opened)))
+    assert main(["verify", opened[1]]) == 0 and json.loads(capsys.readouterr().out)["record_count"] == N
+    assert main(["walk", opened[1], str(asked), "--oracle"]) == 0 and json.loads(capsys.readouterr().out)["differs"] == []
+    assert main(["show", opened[1], str(asked)]) == 0 and json.loads(capsys.readouterr().out)["presentation_kind"] == "query-result"
+    assert main(["validate", opened[1], str(tmp_path / "b.json"), str(tmp_path / "r.json"), "--bundle-id", "b", "--environment-label", "l"]) == 0
+    assert main(["verify", str(tmp_path / "none")]) == 1 and main(["nothing"]) == 2
+    assert main(["lock", str(tmp_path / "lock.json")]) == 0
+
+
+def test_profile_contract():
+    from lodestrand.plans import contracts
+
+    profile = {"profile_id": "p", "version": "1", "lifecycle": "active", "input_contract": {"a": 1}, "model": {"artifact": "m", "revision": "r", "content_digest": "d"}, "tokenization": {"a": 1}, "pooling": {"a": 1}, "preprocessing": {}, "output": {"dimension": 3, "dtype": "float32"}, "metric": {"name": "cosine", "direction": "up"}, "compatibility": {"a": 1}, "provenance": {"plugin_descriptor": "x", "runner_environment": "y", "determinism": "z"}, "validation_links": []}
+    assert contracts.from_json("embedding-profile", contracts.to_json("embedding-profile", profile)) == profile
+    for change in ({"model": {"artifact": "m"}}, {"output": {"dimension": True, "dtype": "f"}}, {"output": {"dimension": 0, "dtype": "f"}}, {"validation_links": [""]}, {"pooling": {}}, {"extra": 1}, {"lifecycle": " "}):
+        with pytest.raises(contracts.ContractError):
+            contracts.check("embedding-profile", profile | change)
