@@ -15,17 +15,16 @@ PREFIX = "<s>"
 def contigs(files: DataFrame, key: str = "accession", text: str = "fasta") -> DataFrame:
     """key, ordinal, contig_id (null if the header has none), bases and stray (text before the first header).
 
-    One row for each header, and one of ordinal 0 for text before it. Lines end at LF, CR or both. The ordinal is a
-    running count of headers within a file, so files are split over tasks and a file stays whole, as its digest needs.
+    One row for each header, and one of ordinal 0 for text before it. Lines end at LF, CR or both. A file is cut at its
+    headers where it is read: no shuffle, no window, and a file stays whole, as its digest needs.
     """
-    lines = files.select(F.col(key), F.posexplode(F.split(F.col(text), "\r\n|\n|\r")).alias("line_no", "line"))
-    by = Window.partitionBy(key).orderBy("line_no")
-    marked = lines.withColumn("ordinal", F.sum(F.col("line").startswith(">").cast("int")).over(by))
-    header, body = F.col("line").startswith(">"), ~F.col("line").startswith(">")
-    name = F.nullif(F.regexp_extract(F.col("line"), r"^>[ \t\f\x0b]*([^ \t\f\x0b]*)", 1), F.lit(""))
-    grouped = marked.groupBy(key, "ordinal").agg(F.max(F.when(header, name)).alias("contig_id"), F.array_sort(F.collect_list(F.when(body, F.struct("line_no", "line")))).alias("lines"))
-    bases = texts.canonical_bases(F.array_join(F.transform("lines", lambda x: x["line"]), ""))
-    return grouped.select(key, "ordinal", "contig_id", bases.alias("bases")).where((F.col("ordinal") > 0) | (F.col("bases") != ""))
+    plain = F.regexp_replace(F.col(text), "\r\n|\r", "\n")
+    cut = files.select(F.col(key), F.posexplode(F.split(plain, "(?md)^>")).alias("ordinal", "part"))  # (?d): only LF ends a line
+    first, end = F.col("ordinal") == 0, F.instr("part", "\n")
+    header = F.when(end > 0, F.substr("part", F.lit(1), end - 1)).otherwise(F.col("part"))
+    body = F.when(first, F.col("part")).when(end > 0, F.substr("part", end + 1)).otherwise(F.lit(""))
+    name = F.when(~first, F.nullif(F.regexp_extract(header, r"^[ \t\f\x0b]*([^ \t\f\x0b]*)", 1), F.lit("")))
+    return cut.select(key, F.col("ordinal").cast("bigint").alias("ordinal"), name.alias("contig_id"), texts.canonical_bases(body).alias("bases")).where((F.col("ordinal") > 0) | (F.col("bases") != ""))
 
 
 def reasons(found: DataFrame, reported: DataFrame, key: str = "accession") -> DataFrame:

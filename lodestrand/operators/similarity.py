@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import floats
+from lodestrand.session import broadcast_if_small
 
 
 def total_order() -> list[Column]:
@@ -39,16 +40,16 @@ def binding_faults(records: DataFrame, instances: DataFrame, mapping: DataFrame)
     return unbound.unionByName(unknown).unionByName(several).unionByName(uncovered)
 
 
-def scores(candidates: DataFrame, query: list[float] | DataFrame) -> DataFrame:
-    """Every candidate (record_id, entity_id, vector) with its score against one query vector, itself included.
+def scores(candidates: DataFrame, query: list[float] | DataFrame, *more: Column) -> DataFrame:
+    """Every candidate (record_id, entity_id, vector) with its score against one query vector, itself included, and more columns.
 
     A query given as values is a literal, so nothing is joined; one given as a frame must have one row and is broadcast.
     """
     if isinstance(query, DataFrame):
         joined = candidates.crossJoin(F.broadcast(query.select(F.col("vector").alias("__q")).limit(1)))
-        return joined.select("record_id", "entity_id", floats.dot(F.col("vector"), F.col("__q")).cast("double").alias("score"))
+        return joined.select("record_id", "entity_id", floats.dot(F.col("vector"), F.col("__q")).cast("double").alias("score"), *more)
     q = F.array(*(floats.f32(x) for x in query))
-    return candidates.select("record_id", "entity_id", floats.dot(F.col("vector"), q).cast("double").alias("score"))
+    return candidates.select("record_id", "entity_id", floats.dot(F.col("vector"), q).cast("double").alias("score"), *more)
 
 
 def page(ranked: DataFrame, limit: int, after: tuple[float, str] | None = None) -> DataFrame:
@@ -67,15 +68,26 @@ QUERY_BLOCK, ROW_BLOCK = 256, 4096
 
 
 def _blocks(df: DataFrame, rows: int) -> DataFrame:
-    """id and vector packed into rows of bounded size."""
+    """id and vector packed into rows of bounded size, over the bounds of Arrow batches."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(held)
+        ids = pa.array([part.column(0).to_pylist()], pa.list_(pa.string()))
+        kept = np.concatenate([np.asarray(c.flatten(), np.float32) for c in part.column(1).chunks])
+        return pa.RecordBatch.from_arrays([ids, pa.array([kept.tobytes()], pa.binary())], names=["ids", "data"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for i in range(0, batch.num_rows, rows):
-                part = batch.slice(i, rows)
-                ids = pa.array([part.column(0).to_pylist()], pa.list_(pa.string()))
-                kept = np.asarray(part.column(1).flatten(), np.float32)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([kept.tobytes()], pa.binary())], names=["ids", "data"])
+            while batch.num_rows:
+                taken = batch.slice(0, rows - sum(b.num_rows for b in held))
+                held.append(taken)
+                batch = batch.slice(taken.num_rows)
+                if sum(b.num_rows for b in held) == rows:
+                    yield packed(held)
+                    held = []
+        if held:
+            yield packed(held)
 
     return df.select("record_id", "vector").mapInArrow(pack, "ids array<string>, data binary")
 
@@ -101,7 +113,8 @@ def top_of_many(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                 n = best.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(q_ids, object), n), pa.string()), pa.array(np.array(ids, object)[best.ravel()], pa.string()), pa.array(np.take_along_axis(got, best, 1).ravel().astype(np.float64))], names=["query_id", "record_id", "score"])
 
-    pairs = _blocks(queries, QUERY_BLOCK).toDF("q_ids", "q_data").crossJoin(_blocks(candidates, ROW_BLOCK))
+    # queries that fit are sent to the candidates once; else every two blocks meet in a task
+    pairs = broadcast_if_small(_blocks(queries, QUERY_BLOCK)).toDF("q_ids", "q_data").crossJoin(_blocks(candidates, ROW_BLOCK))
     best = pairs.mapInArrow(meet, "query_id string, record_id string, score double")
     by = Window.partitionBy("query_id").orderBy(*total_order())
     return best.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= k)

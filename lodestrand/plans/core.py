@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions import floats
@@ -9,6 +10,7 @@ from lodestrand.operators import similarity
 from lodestrand.operators.filters import Compiler, FilterRefused
 from lodestrand.plans import request as R
 from lodestrand.plans.release import Release
+from lodestrand.session import Workspace
 
 # Messages of the result contract.
 OTHER_RELEASE = "release selector does not identify this verified release"
@@ -82,10 +84,21 @@ class QueryCore:
             selected = Compiler(raw=F.try_parse_json("raw_text")).compile(payload["filter"])
         except FilterRefused as e:
             raise _Stop(e.code, e.message, "plan", "filter") from e
-        candidates = rows.where(selected)
-        if not query[0]["ok"] or candidates.where(~F.coalesce(floats.passes_query_gate(F.col("vector")), F.lit(False))).take(1):
+        if not query[0]["ok"]:
+            raise _Stop("profile_incompatible", BAD_VECTORS, "plan")
+        # one pass over the vectors serves the gate, the cursor's key and the page; what they read then is narrow
+        gate = F.coalesce(floats.passes_query_gate(F.col("vector")), F.lit(False)).alias("ok")
+        scored = similarity.scores(rows.where(selected), query[0]["vector"], gate)
+        work = Workspace(release.work.spark, "request")
+        try:
+            return self._answer(request, profile, work.write(scored, "scored"))
+        finally:
+            work.clear()
+
+    def _answer(self, request: R.Request, profile: dict, ranked: DataFrame) -> dict:
+        payload, release = request.payload, self.release
+        if ranked.where("not ok").take(1):
             raise _Stop("profile_incompatible", BAD_VECTORS, "plan")
-        ranked = similarity.scores(candidates, query[0]["vector"])
         binding = R.binding_digest(request)
         after = self._after(payload["pagination"]["cursor"], binding, ranked)
         limit = int(payload["pagination"]["limit"])

@@ -10,9 +10,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,19 +99,27 @@ def check_manifest(manifest: dict, policy: Policy) -> list[dict]:
 
 
 def logical_digest(release_id: str, records: DataFrame, entities: DataFrame, instances: DataFrame, vector_digest: str) -> str:
-    """The digest of the release graph: compact ASCII JSON with sorted members, hashed as its rows stream by in order."""
+    """The digest of the release graph: compact ASCII JSON with sorted members, hashed as its rows stream by in order.
+
+    Rows are sorted and spelt on the executors, a batch of them to one value; the driver only hashes, as the digest is one.
+    """
     own = hashlib.sha256()
     dump = lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"))
 
     def part(name: str, df: DataFrame, order: str, shape) -> None:  # noqa: ANN001
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([",".join(dump(shape(r)) for r in batch.to_pylist()).encode()], pa.binary())], names=["data"])
+
         own.update(f'"{name}":['.encode())
-        for i, row in enumerate(df.orderBy(order).toLocalIterator()):
-            own.update((b"," if i else b"") + dump(shape(row)).encode())
+        for i, row in enumerate(df.orderBy(order).mapInArrow(pack, "data binary").toLocalIterator(prefetchPartitions=True)):
+            own.update((b"," if i else b"") + row["data"])
         own.update(b"],")
 
     own.update(b"{")
     part("entities", entities, "entity_id", lambda r: {"entity_id": r["entity_id"], "record_versions": sorted(r["record_versions"])})
-    part("instances", instances, "vector_reference.row", lambda r: {"record_id": r["record_id"], "profile_id": r["profile_id"], "vector_reference": r["vector_reference"].asDict()})
+    part("instances", instances, "vector_reference.row", lambda r: {"record_id": r["record_id"], "profile_id": r["profile_id"], "vector_reference": r["vector_reference"]})
     part("records", records, "record_id", lambda r: {k: r[k] for k in ("record_id", "entity_id", "sequence_digest")})
     own.update(f'"release_id":{dump(release_id)},"vector_shard_digest":{dump(vector_digest)}}}'.encode())
     return f"sha256:{own.hexdigest()}"

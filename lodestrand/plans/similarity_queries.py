@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions import floats
 from lodestrand.operators import accounting, canonical, similarity
 from lodestrand.operators.filters import Compiler
-from lodestrand.session import table
+from lodestrand.session import Workspace, table
 
 # The record view: null, quarantined and eligible states, seven provenances, one entity for each label.
 VIEW_SQL = """
@@ -41,8 +41,8 @@ def sim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sim_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page: the first page's last key is looked up, then rows after it are ranked."""
-    all_rows = ranked(spark, sf_dir)
+    """The second page: the first page's last key is looked up, then rows after it are ranked; scores are computed once."""
+    all_rows = Workspace(spark, "ranked").write(ranked(spark, sf_dir), "scores")
     last = similarity.page(all_rows, 12).collect()[-1]
     return similarity.page(all_rows, 12, (last["score"], last["record_id"]))
 
