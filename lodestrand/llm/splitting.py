@@ -115,3 +115,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same items in pieces of about equal length."""
     return split(table(spark, sf_dir, "assemblies"), "canonical_path", "canonical_bytes", "ingested_at", "balanced")
+
+
+#: The rule of p3_found, piece after piece. The text of a blob spells bytes outside printable ASCII as \xHH: one sign for each
+#: makes offsets of signs those of bytes; line feeds come back before the rest becomes "?".
+P3_SQL = rf"""WITH RECURSIVE items AS (SELECT canonical_path, regexp_replace(replace(arg_min(canonical_bytes, ingested_at)::VARCHAR, '\x0A', chr(10)), '\\x[0-9A-F][0-9A-F]', '?', 'g') AS t FROM assemblies WHERE canonical_bytes IS NOT NULL AND octet_length(canonical_bytes) > {LIMIT} GROUP BY 1),
+line_parts AS (SELECT canonical_path, unnest(string_split(t, chr(10))) AS part, unnest(range(len(string_split(t, chr(10))))) AS nth, len(string_split(t, chr(10))) AS parts FROM items),
+run_parts AS (SELECT canonical_path, unnest(string_split_regex(t, '[Nn]{{{GAP},}}')) AS part, unnest(list_concat(regexp_extract_all(t, '[Nn]{{{GAP},}}'), [NULL])) AS run, unnest(range(len(string_split_regex(t, '[Nn]{{{GAP},}}')))) AS nth FROM items),
+line_ends AS (SELECT canonical_path, nth, parts, sum(length(part) + 1) OVER (PARTITION BY canonical_path ORDER BY nth)::BIGINT AS e FROM line_parts),
+run_ends AS (SELECT canonical_path, run, sum(length(part) + coalesce(length(run), 0)) OVER (PARTITION BY canonical_path ORDER BY nth)::BIGINT AS e FROM run_parts),
+lines AS (SELECT canonical_path, list(e ORDER BY e) AS ends FROM line_ends WHERE nth < parts - 1 GROUP BY 1),
+runs AS (SELECT canonical_path, list(e ORDER BY e) AS ends FROM run_ends WHERE run IS NOT NULL GROUP BY 1),
+known AS (SELECT canonical_path, length(t)::BIGINT AS n, coalesce(l.ends, []) AS lines, coalesce(r.ends, []) AS runs FROM items LEFT JOIN lines l USING (canonical_path) LEFT JOIN runs r USING (canonical_path)),
+pieces AS (
+  SELECT canonical_path, -1 AS piece_no, 0::BIGINT AS start_at, {OVERLAP}::BIGINT AS end_at, n, lines, runs FROM known
+  UNION ALL
+  SELECT canonical_path, piece_no + 1, s, CASE WHEN n - s <= {LIMIT} THEN n ELSE coalesce(list_max(list_filter(lines, lambda x: x > s + {OVERLAP} AND x <= s + {LIMIT})), list_max(list_filter(runs, lambda x: x > s + {OVERLAP} AND x <= s + {LIMIT})), s + {LIMIT}) END, n, lines, runs
+  FROM (SELECT *, end_at - {OVERLAP} AS s FROM pieces WHERE end_at < n))
+SELECT canonical_path, piece_no, start_at, end_at FROM pieces WHERE piece_no >= 0"""

@@ -88,3 +88,9 @@ def test_balanced_pieces_of_a_huge_item_take_linear_time():
     took(100)
     small, large = took(3_500), took(35_000)  # 10 MB and 105 MB
     assert large < 25 * small + 2
+
+
+def test_p3_equals_its_sql(spark, small):
+    from conftest import duck, rows
+
+    assert rows(splitting.p3_found(spark, small)) == rows(duck(small).execute(splitting.P3_SQL).df())
