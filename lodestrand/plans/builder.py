@@ -220,3 +220,46 @@ def selects_environment(build: Mapping[str, object], environment_id: str, declar
     plugins = build.get("plugins")
     chosen = plugins[0].get("execution_environment") if isinstance(plugins, list) and len(plugins) == 1 and isinstance(plugins[0], Mapping) else None
     return build.get("embedding_profiles") == [profile_id] and isinstance(chosen, Mapping) and (chosen.get("id"), chosen.get("declaration_digest")) == (environment_id, declaration_digest)
+
+
+def failed_envelope(stage: str, error: Exception) -> dict:
+    """The envelope of a stage that stopped: what went wrong, and that nothing was put out."""
+    return {"stage_id": stage, "input_artifacts": [], "output_artifacts": [], "outcome": "failed", "verification": {"error": type(error).__name__, "message": str(error)}}
+
+
+def accession_of(record_id: str, namespace: str, profile: str) -> str:
+    """The accession within a record id of the form namespace:accession:profile."""
+    before, after = f"{namespace}:", f":{profile}"
+    if not (record_id.startswith(before) and record_id.endswith(after) and len(record_id) > len(before) + len(after)):
+        raise StageFailed(f"{record_id} is no record of {namespace} and {profile}")
+    return record_id[len(before) : -len(after)]
+
+
+def canonical_inputs(root: str, expected: int) -> list[str]:
+    """The canonical files of a workspace in order of name; any other number than expected stops the stage."""
+    place = os.path.join(root, release.CANONICAL)
+    found = sorted(f for f in (os.listdir(place) if os.path.isdir(place) else []) if f.endswith(".txt"))
+    if len(found) != expected:
+        raise StageFailed(f"{len(found)} canonical files are there, {expected} are expected")
+    return [os.path.join(place, f) for f in found]
+
+
+def copy_into(source: str, target: str) -> None:
+    """Copies a workspace to a target that must be empty or absent."""
+    if os.path.exists(target) and (not os.path.isdir(target) or os.listdir(target)):
+        raise StageFailed(f"{target} is not empty")
+    shutil.copytree(source, target, dirs_exist_ok=True)
+
+
+def reusable(inputs: DataFrame, vectors: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Which records of a batch need no new validation: record_id, reused, and the verdict that is taken over.
+
+    inputs: record_id and digest of what is to be validated; vectors and verdicts, kept from earlier runs: record_id, digest
+    of the input and vector_digest, verdicts with status too. A record is reused only if both are there for this very
+    input and agree on the vector, in one row each; of repeated rows none counts.
+    """
+    def kept(df: DataFrame, *more: str) -> DataFrame:
+        return df.groupBy("record_id", "digest").agg(F.count("*").alias("n"), F.max("vector_digest").alias("vector_digest"), *(F.max(m).alias(m) for m in more)).where("n = 1").drop("n")
+
+    both = kept(vectors).join(kept(verdicts, "status"), ["record_id", "digest", "vector_digest"]).select("record_id", "digest", "status")
+    return inputs.select("record_id", "digest").join(both, ["record_id", "digest"], "left").select("record_id", F.col("status").isNotNull().alias("reused"), "status")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import platform
+import re
 from collections.abc import Iterable, Mapping
 from decimal import Decimal
 from hashlib import sha256
@@ -133,23 +134,51 @@ def write_validation(report: Mapping[str, object], bundle_path: str, run_path: s
         write_document(document, path)
 
 
+class OracleRefused(ValueError):
+    """A package that the oracle can't rank, because it isn't what its own declarations say."""
+
+
 class Oracle:
     """Exact rankings of a package, computed without Spark and without the engine's operators, to compare results with.
 
-    It reads the packaged files itself, block by block, and folds products in binary32 one dimension after the other.
+    It reads the packaged files itself, checks them by rules of its own, and folds products in binary32 one dimension
+    after the other. digest: that of the release manifest, if the ranking must be bound to it.
     """
 
-    def __init__(self, package: str) -> None:
+    def __init__(self, package: str, digest: str | None = None, profile_id: str | None = None) -> None:
         import numpy as np
 
-        load = lambda p: json.load(open(os.path.join(package, p), encoding="utf-8"))  # noqa: E731, SIM115
-        lines = lambda p: [json.loads(x) for x in open(os.path.join(package, p), encoding="utf-8") if x.strip()]  # noqa: E731, SIM115
-        shard = load("embeddings/vector-shard-manifest.json")
+        def raw(path: str) -> bytes:
+            try:
+                with open(os.path.join(package, path), "rb") as f:
+                    return f.read()
+            except OSError as e:
+                raise OracleRefused(f"{path} can't be read") from e
+
+        def need(holds: bool, what: str) -> None:
+            if not holds:
+                raise OracleRefused(what)
+
+        manifest, shard = json.loads(raw("release-manifest.json")), json.loads(raw("embeddings/vector-shard-manifest.json"))
+        declared = {a["path"]: a["digest"] for a in manifest["artifacts"]}
+        self.digest = "sha256:" + sha256(raw("release-manifest.json")).hexdigest()
+        need(digest is None or digest == self.digest, "the manifest is not the one that the request is bound to")
+        need(all(re.fullmatch("sha256:[0-9a-f]{64}", d) for d in declared.values()), "a declared digest is not spelt as one")
+        held = {p: raw(p) for p in ("embeddings/vectors.float32le", "embeddings/embedding-instances.jsonl", "records/genome-record-versions.jsonl")}
+        for path, data in held.items():
+            need(declared.get(path) == "sha256:" + sha256(data).hexdigest(), f"{path} is not what the manifest declares")
+        need(shard["digest"] == declared["embeddings/vectors.float32le"], "the shard declares other vectors")
+        need(profile_id is None or shard["profile_id"] == profile_id, "the shard is of another profile")
+        instances, records = ([json.loads(x) for x in held[p].splitlines() if x.strip()] for p in ("embeddings/embedding-instances.jsonl", "records/genome-record-versions.jsonl"))
         at = {v: int(k) for k, v in shard["row_mapping"].items()}
-        rows = {i["record_id"]: at[i["instance_id"]] for i in lines("embeddings/embedding-instances.jsonl")}
-        self.vectors = np.fromfile(os.path.join(package, "embeddings/vectors.float32le"), "<f4").reshape(-1, shard["dimension"])
-        self.records = {r["record_id"]: r for r in lines("records/genome-record-versions.jsonl") if r["record_id"] in rows}
-        self.rows, self.dimension = rows, shard["dimension"]
+        self.rows = {i["record_id"]: at[i["instance_id"]] for i in instances if i["instance_id"] in at}
+        need(len(self.rows) == len(instances) == len(records) == len(at) and set(self.rows) == {r["record_id"] for r in records}, "records, instances and rows are not the same")
+        need(sorted(self.rows.values()) == list(range(len(at))), "the rows are not those from 0 on")
+        self.dimension = shard["dimension"]
+        need(len(held["embeddings/vectors.float32le"]) == 4 * self.dimension * len(at), "the vectors do not fill the rows")
+        self.vectors = np.frombuffer(held["embeddings/vectors.float32le"], "<f4").reshape(len(at), self.dimension)
+        need(bool(np.isfinite(self.vectors).all()) and bool((np.abs(np.linalg.norm(self.vectors.astype(np.float64), axis=1) - 1) <= 1e-6).all()), "a vector is not finite or not of length 1")
+        self.records = {r["record_id"]: r for r in records}
 
     def ranking(self, query_record_id: str) -> list[tuple[str, float]]:
         """All records but by score, greatest first, equal ones by id; a score is the binary32 fold as a double."""
@@ -205,3 +234,36 @@ def pinned_commit(root: str) -> str:
     except OSError as e:
         raise EvidenceRefused(f"{root} is no working copy") from e
     raise EvidenceRefused(f"{name} has no commit")
+
+
+def deterministic(seed: int = 0, threads: int = 1) -> dict:
+    """Sets the policy of a CPU run in this process and gives it for the record: one seed, one thread, no accelerator."""
+    import random
+
+    import numpy as np
+
+    chosen = {"PYTHONHASHSEED": str(seed), "CUDA_VISIBLE_DEVICES": "", **dict.fromkeys(("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"), str(threads))}
+    os.environ.update(chosen)
+    random.seed(seed)
+    np.random.seed(seed)
+    return {"seed": seed, "threads": threads, "accelerator": None, "environment": chosen}
+
+
+def run_provenance(root: str, policy: Mapping[str, object]) -> dict:
+    """What a run is bound to: the commit of its code, its runtime and its policy, with a digest over all."""
+    held = {"commit": pinned_commit(root), "runtime": environment(), "policy": dict(policy)}
+    return held | {"digest": evidence_digest(held)}
+
+
+def fetched(fetch, tries: int = 5, wait=None):  # noqa: ANN001, ANN201
+    """The result of fetch(), tried again after 1, 2, 4 ... seconds on an OSError; the last error is raised."""
+    import time
+
+    for i in range(tries):
+        try:
+            return fetch()
+        except OSError:
+            if i == tries - 1:
+                raise
+            (wait or time.sleep)(2**i)
+    raise ValueError("no try was allowed")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import floats
 from lodestrand.operators import canonical
-from lodestrand.plans import release
+from lodestrand.plans import builder, release
 from lodestrand.plans import request as R
 from lodestrand.session import Workspace, shared_dir, table
 from lodestrand.sources import files, vectors
@@ -160,7 +160,19 @@ def artifact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.copy_tree(spark, f"{root}/from", f"{root}/to", block=7)
 
 
+def batch_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a batch of records, of which some have kept vectors and verdicts, some of another input, twice or in dispute."""
+    key = F.col("o_orderkey")
+    part = key % 12
+    rows = table(spark, sf_dir, "orders").select(key.cast("bigint").alias("record_id"), part.alias("part"), F.col("o_orderstatus").alias("status"), F.concat(F.lit("d"), key.cast("string")).alias("digest"))
+    kept = rows.select("record_id", "part", "status", F.when(F.col("part") == 1, F.lit("old")).otherwise(F.col("digest")).alias("digest"), F.concat(F.lit("v"), F.col("digest")).alias("vector_digest"))
+    vectors_ = kept.where("part <> 2")
+    verdicts = kept.where("part <> 3").withColumn("vector_digest", F.when(F.col("part") == 4, F.lit("other")).otherwise(F.col("vector_digest")))
+    return builder.reusable(rows, vectors_, verdicts.unionByName(verdicts.where("part = 5")).drop("part"))
+
+
 QUERIES = {
+    "batch_reuse": batch_reuse,
     "pool_exact": pool_exact, "unit_exact": unit_exact, "sum_exact": sum_exact, "record_integrity": record_integrity, "instance_integrity": instance_integrity, "canonical_lines": canonical_lines,
     "report_faults": report_faults, "request_digests": request_digests, "jsonl_round_trip": jsonl_round_trip, "float32_round_trip": float32_round_trip, "artifact_scan": artifact_scan,
 }
@@ -169,6 +181,7 @@ _MEANS_SQL = _TOTAL_SQL.format("xs")
 _LENGTH_SQL = _TOTAL_SQL.format("list_transform(v, lambda x: x * x)")
 _MIXED_SQL = _TOTAL_SQL.format("list_transform(embedding, lambda x, i: x::DOUBLE * CASE (i - 1) % 3 WHEN 0 THEN 1e15 WHEN 1 THEN 1.0::DOUBLE ELSE 1e-9 END)")
 ORACLES = {
+    "batch_reuse": "SELECT o_orderkey::BIGINT AS record_id, o_orderkey % 12 NOT IN (1, 2, 3, 4, 5) AS reused, CASE WHEN o_orderkey % 12 NOT IN (1, 2, 3, 4, 5) THEN o_orderstatus END AS status FROM orders",
     "pool_exact": f"""WITH x AS (SELECT vec_id // 8 AS sequence, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS position FROM embeddings),
         l AS (SELECT sequence, position, list(x ORDER BY vec_id) AS xs FROM x GROUP BY 1, 2), t AS (SELECT sequence, position, len(xs) AS n, {_MEANS_SQL} AS t FROM l) SELECT sequence, position, (t.s + t.c) / n AS mean FROM t""",
     "unit_exact": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), t AS (SELECT vec_id, v, {_LENGTH_SQL} AS t FROM v)

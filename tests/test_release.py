@@ -384,3 +384,52 @@ def test_profile_contract():
     for change in ({"model": {"artifact": "m"}}, {"output": {"dimension": True, "dtype": "f"}}, {"output": {"dimension": 0, "dtype": "f"}}, {"validation_links": [""]}, {"pooling": {}}, {"extra": 1}, {"lifecycle": " "}):
         with pytest.raises(contracts.ContractError):
             contracts.check("embedding-profile", profile | change)
+
+
+def test_the_oracle_refuses_what_its_declarations_deny(opened, tmp_path):
+    target = str(tmp_path / "p")
+    shutil.copytree(opened[1], target)
+    assert evidence.Oracle(target, opened[0].digest, PROFILE).dimension == DIM
+    for more in (("sha256:0", PROFILE), (opened[0].digest, "q")):
+        with pytest.raises(evidence.OracleRefused):
+            evidence.Oracle(target, *more)
+    with open(os.path.join(target, release.VECTORS), "r+b") as f:
+        f.write(b"\x00\x00\x00\x00")
+    with pytest.raises(evidence.OracleRefused, match="declares"):
+        evidence.Oracle(target)
+
+
+def test_stage_helpers(base, tmp_path):
+    assert builder.accession_of("asm:G1.1:canon-v1", "asm", "canon-v1") == "G1.1"
+    with pytest.raises(builder.StageFailed):
+        builder.accession_of("asm:canon-v1", "asm", "canon-v1")
+    assert len(builder.canonical_inputs(base[0], N)) == N
+    with pytest.raises(builder.StageFailed):
+        builder.canonical_inputs(base[0], N + 1)
+    builder.copy_into(base[0], str(tmp_path / "c"))
+    with pytest.raises(builder.StageFailed):
+        builder.copy_into(base[0], str(tmp_path / "c"))
+    assert builder.failed_envelope("s", ValueError("x"))["verification"] == {"error": "ValueError", "message": "x"}
+    tries, waits = [], []
+
+    def fetch():
+        tries.append(1)
+        if len(tries) < 4:
+            raise OSError("away")
+        return "there"
+
+    assert evidence.fetched(fetch, wait=waits.append) == "there" and waits == [1, 2, 4]
+    with pytest.raises(OSError):
+        evidence.fetched(lambda: open("/nowhere/at/all"), tries=2, wait=waits.append)  # noqa: SIM115
+
+
+def test_run_policy_and_provenance(tmp_path, monkeypatch):
+    for name in ("PYTHONHASHSEED", "CUDA_VISIBLE_DEVICES", "OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        monkeypatch.setenv(name, os.environ.get(name, ""))
+    policy = evidence.deterministic()
+    first = np.random.random()
+    evidence.deterministic()
+    assert np.random.random() == first and policy["threads"] == 1
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "HEAD").write_text("abc\n")
+    assert evidence.run_provenance(str(tmp_path), policy) == evidence.run_provenance(str(tmp_path), policy)
