@@ -54,10 +54,13 @@ def reference_rows(references: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = []
-            for value in batch.column(2):
-                row = np.array([np.nan if x is None else x for x in value.as_py()] if value.is_valid else [], np.float32).reshape(1, -1)
-                blobs += [row.tobytes() if row.size and _valid(row)[0] else None]
+            held, blobs = batch.column(2), np.full(batch.num_rows, None, object)
+            offsets, flat = held.offsets.to_numpy(), held.values.to_numpy(zero_copy_only=False).astype(np.float32)  # null components are NaN
+            lengths = np.where(held.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+            for n in np.unique(lengths[lengths > 0]).tolist():
+                at = np.flatnonzero(lengths == n)
+                rows = flat[offsets[at][:, None] + np.arange(n)]
+                blobs[at] = _blobs(rows, _valid(rows)).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["record_id", "profile_id", "vector"])
 
     return references.select("record_id", "profile_id", "vector").mapInArrow(run, SCHEMA)
