@@ -28,7 +28,7 @@ SHARD_ROWS, MOST_ROWS = 8192, 65_536
 SAMPLE, LOWER_SAMPLE, UPPER_CELLS, CELLS, KINDS = 16_384, 64, 64, 16_384, 1024
 #: Shards that a query visits at most, and how much less similar than the nearest centroid theirs may be: for a partner of
 #: similarity s the difference to be expected is some sqrt(1 - s^2) / sqrt(dimension), so this is four times that at 0.97.
-VISITS, MARGIN = 3, 0.1
+VISITS, MARGIN = 4, 0.1
 #: Where all neighbours are asked for, near or not: those that are hardly similar lie in many cells, the more of them the
 #: more there are. Visits at least, share of the cells that is visited, rows of a shard, beam.
 WIDE_VISITS, WIDE_SHARE, WIDE_ROWS, WIDE_BEAM = 6, 0.4, 16_384, 32
