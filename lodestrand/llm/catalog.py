@@ -23,6 +23,7 @@ ORACLES = {
     "p1_found": neighbours.P1_SQL,
     "p2_found": clusters.P2_SQL,
     "p3_found": splitting.P3_SQL,
+    "p3_balanced": splitting.P3_BALANCED_SQL,
     "p4_found": topn.P4_SQL,
     "p8_found": spans.P8_SQL,
     "p8_shared": spans.P8_SHARED_SQL,

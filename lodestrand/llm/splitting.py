@@ -133,3 +133,13 @@ pieces AS (
   SELECT canonical_path, piece_no + 1, s, CASE WHEN n - s <= {LIMIT} THEN n ELSE coalesce(list_max(list_filter(lines, lambda x: x > s + {OVERLAP} AND x <= s + {LIMIT})), list_max(list_filter(runs, lambda x: x > s + {OVERLAP} AND x <= s + {LIMIT})), s + {LIMIT}) END, n, lines, runs
   FROM (SELECT *, end_at - {OVERLAP} AS s FROM pieces WHERE end_at < n))
 SELECT canonical_path, piece_no, start_at, end_at FROM pieces WHERE piece_no >= 0"""
+
+#: The same boundaries; each piece ends at the strongest one within a quarter of the target length of its target, if any.
+_NEAREST = "list_sort(list_transform(list_filter({0}, lambda x: x >= greatest(s + {1} + 1, target - reach) AND x <= least(target + reach, s + {2})), lambda x: {{'off': abs(x - target), 'x': x}}))[1].x"
+P3_BALANCED_SQL = P3_SQL[: P3_SQL.index("pieces AS (")] + f"""pieces AS (
+  SELECT canonical_path, -1 AS piece_no, 0::BIGINT AS start_at, {OVERLAP}::BIGINT AS end_at, n, lines, runs FROM known
+  UNION ALL
+  SELECT canonical_path, piece_no + 1, s, CASE WHEN n - s <= {LIMIT} THEN n ELSE coalesce({_NEAREST.format("lines", OVERLAP, LIMIT)}, {_NEAREST.format("runs", OVERLAP, LIMIT)}, target) END, n, lines, runs
+  FROM (SELECT *, s + least(round_even(step, 0)::BIGINT + {OVERLAP}, {LIMIT}) AS target, floor(step / 4)::BIGINT AS reach
+    FROM (SELECT *, (n - s - {OVERLAP}) / ceil((n - s - {OVERLAP}) / {LIMIT - OVERLAP}.0)::DOUBLE AS step FROM (SELECT *, end_at - {OVERLAP} AS s FROM pieces WHERE end_at < n))))
+SELECT canonical_path, piece_no, start_at, end_at FROM pieces WHERE piece_no >= 0"""

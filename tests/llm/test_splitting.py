@@ -90,7 +90,9 @@ def test_balanced_pieces_of_a_huge_item_take_linear_time():
     assert large < 25 * small + 2
 
 
-def test_p3_equals_its_sql(spark, small):
+def test_queries_equal_their_sql(spark, small):
     from conftest import duck, rows
 
-    assert rows(splitting.p3_found(spark, small)) == rows(duck(small).execute(splitting.P3_SQL).df())
+    con = duck(small)
+    assert rows(splitting.p3_found(spark, small)) == rows(con.execute(splitting.P3_SQL).df())
+    assert rows(splitting.p3_balanced(spark, small)) == rows(con.execute(splitting.P3_BALANCED_SQL).df())
