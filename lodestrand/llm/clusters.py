@@ -10,6 +10,11 @@ their clusters.
 A neighbour list is short and lies in one shard, so a large cluster falls into parts first. The parts' attractors, which
 are records, and the records without a link are clustered again by the same threshold, in shards placed anew; then the
 attractors once more, and from there on those of them that have links, until a level merges nothing.
+
+Neighbour lists don't hold all pairs, so what the levels found is completed in the end: every record is compared with all
+clusters of its kind, and with the members of those that hold a partner of it or might. A cluster is passed by only where
+its centre is further from the record than the threshold's angle and the cluster's radius together, hence no pair that
+reaches the threshold is left out, and clusters between which there is one become one.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +46,11 @@ ROUNDS, LEVELS = 64, 32
 #: Shards that a node visits in levels after the first, and how much less similar than the nearest centroid theirs may be.
 #: In the first level, which gathers what lies close together, links stay within shards.
 VISITS_LATER, MARGIN_LATER = 4, 0.25
+#: Completion: rows of a kind that are one block (every two blocks meet in a task), queries and clusters of a tile, members
+#: of a cluster that a query meets first, candidates that are gathered before they're compared.
+ROWS, TILE, FIRST, GATHERED = 131_072, (1024, 8192), 64, 1 << 20
+#: What rounding may take from an angle (of float32 products and of unit lengths) and from a float32 similarity.
+SLACK, NEAR_ENOUGH = 2e-3, 1e-4
 
 _COLUMNS = "col bigint, rows array<bigint>, vals array<float>, moves float"
 
@@ -251,12 +262,10 @@ def _roots(parents: DataFrame, work: Workspace, name: str, doublings: int = 40)
     raise RuntimeError(f"the paths of {name} don't end")
 
 
-def cluster(vectors: DataFrame, work: Workspace, threshold: float = THRESHOLD, levels: int = LEVELS, with_flow: bool = False) -> DataFrame:
-    """id and cluster (the id that stands for it), and with_flow: mass and flow, for every vector.
+def flowed(vectors: DataFrame, work: Workspace, threshold: float = THRESHOLD, levels: int = LEVELS, with_flow: bool = False) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The clusters that the levels give, before they're completed: id and cluster; the flow of the first matrix; with_flow: the masses of each level.
 
-    vectors has id, kind and vector as nearest() takes them. Vectors without a neighbour are clusters of themselves. mass
-    is how many records' flow ends in the record, on the last level on which it is an attractor (0: on none); flow is what
-    comes in to it in the first matrix. RuntimeError if a level still merges after `levels` of them.
+    RuntimeError if a level still merges after `levels` of them.
     """
     nodes = vectors.select("id", "kind", "vector", F.lit(False).alias("several"))
     found, flow, masses = None, None, []
@@ -293,6 +302,183 @@ def cluster(vectors: DataFrame, work: Workspace, threshold: float = THRESHOLD, l
         else:
             stays = stays.join(broadcast_if_small(labels.select(F.col("node").alias("id"))), "id", "left_semi")
         nodes = work.write(stays, f"nodes-{level}")
+    return found, flow, masses
+
+
+def _least_partners(names: np.ndarray, side: np.ndarray, cluster: np.ndarray, v: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows in the order of their names: rows with a partner before them and the first such; and all pairs of clusters that hold partners.
+
+    Partners are rows whose cosine, in double precision, reaches the threshold. Where there are two sides, only rows of
+    different sides are compared. Rows of one cluster and side are a chunk, with its centre and radius.
+    """
+    n = len(v)
+    norm = np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))
+    by_chunk = np.lexsort((np.arange(n), cluster, side))  # rows of a chunk stay in order
+    begins = np.flatnonzero(np.concatenate([[True], (np.diff(cluster[by_chunk]) != 0) | (np.diff(side[by_chunk]) != 0)]))
+    by_chunk = by_chunk[np.argsort(np.repeat(by_chunk[begins], np.diff(np.append(begins, n))), kind="stable")]  # chunks by their first row
+    begins = np.flatnonzero(np.concatenate([[True], (np.diff(cluster[by_chunk]) != 0) | (np.diff(side[by_chunk]) != 0)]))
+    ends = np.append(begins[1:], n)
+    leads, sizes = by_chunk[begins], ends - begins
+    chunk = np.empty(n, np.int64)
+    chunk[by_chunk] = np.repeat(np.arange(len(begins)), sizes)
+    centres = v[leads]
+    for c in np.flatnonzero(sizes > 1).tolist():
+        total = v[by_chunk[begins[c] : ends[c]]].sum(0, dtype=np.float64)
+        length = np.sqrt(total @ total)
+        if length > 1e-3:  # else any direction is as good
+            centres[c] = total / length
+    reach = np.concatenate([np.einsum("ij,ij->i", v[by_chunk[i : i + 16384]], centres[chunk[by_chunk[i : i + 16384]]], dtype=np.float64) for i in range(0, n, 16384)])
+    radius = np.where(sizes > 1, np.arccos(np.clip(np.minimum.reduceat(reach, begins), -1, 1)), 0)
+    angle = np.arccos(np.clip(threshold, -1, 1)) + radius + SLACK
+    bound = np.where(angle < np.pi, np.cos(np.minimum(angle, np.pi)), -2).astype(np.float32)
+    first, links = np.arange(n), []
+
+    def meet(x: np.ndarray, c: int) -> None:
+        """Compares rows with a chunk, member after member in their order, until each row has met a partner."""
+        at, own = int(begins[c]), bool(len(x)) and chunk[x[0]] == c
+        while at < ends[c] and len(x):
+            to = min(int(ends[c]), at + (FIRST if at == begins[c] else TILE[1]))
+            left, members = [], v[by_chunk[at:to]].T
+            for i in range(0, len(x), TILE[0]):
+                rows = x[i : i + TILE[0]]
+                sims = v[rows] @ members
+                hit = sims >= threshold + NEAR_ENOUGH
+                r, m = np.nonzero((sims >= threshold - NEAR_ENOUGH) & ~hit)
+                for j in range(0, len(r), 65536):
+                    p, q = r[j : j + 65536], m[j : j + 65536]
+                    a, b = rows[p], by_chunk[at + q]
+                    hit[p, q] = np.einsum("ij,ij->i", v[a].astype(np.float64), v[b].astype(np.float64)) / (norm[a] * norm[b]) >= threshold
+                if own:
+                    hit &= by_chunk[at:to] < rows[:, None]
+                met = hit.any(1)
+                np.minimum.at(first, rows[met], by_chunk[at + hit[met].argmax(1)])
+                if not own and met.any():
+                    links.append(np.unique(cluster[rows[met]]))
+                    links.append(np.full(len(links[-1]), cluster[leads[c]]))
+                left.append(rows[~met])
+            x, at = np.concatenate(left), to
+            if own and len(x):
+                x = x[x > by_chunk[min(at, n - 1)]] if at < ends[c] else x[:0]
+
+    def compare(found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        x, c = (np.concatenate(p) for p in zip(*found))
+        alone = sizes[c] == 1
+        a, b = x[alone], leads[c[alone]]
+        near = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", v[a[i : i + 16384]].astype(np.float64), v[b[i : i + 16384]].astype(np.float64)) / (norm[a[i : i + 16384]] * norm[b[i : i + 16384]]) >= threshold for i in range(0, len(a), 16384))])
+        np.minimum.at(first, a[near], b[near])
+        links.extend(np.unique(np.stack([cluster[a[near]], cluster[b[near]]]), axis=1))
+        x, c = x[~alone], c[~alone]
+        if not len(x):
+            return
+        order = np.argsort(c, kind="stable")
+        x, c = x[order], c[order]
+        edges = np.append(np.flatnonzero(np.concatenate([[True], np.diff(c) != 0])), len(c))
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            meet(x[i:j], int(c[i]))
+
+    both = bool(side.any()) and not bool(side.all())
+    if not both:
+        for c in np.flatnonzero(sizes > 1).tolist():
+            meet(by_chunk[begins[c] : ends[c]], c)
+    for s in (0, 1) if both else (side[0],):
+        queries, targets, waiting = np.flatnonzero(side == s), np.flatnonzero(side[leads] == (1 - s if both else s)), []
+        for i in range(0, len(queries), TILE[0]):
+            rows = queries[i : i + TILE[0]]
+            before = int(np.searchsorted(leads[targets], rows[-1]))  # of two rows the later one asks
+            for j in range(0, before, TILE[1]):
+                k = min(before, j + TILE[1])
+                r, m = np.nonzero(v[rows] @ centres[targets[j:k]].T >= bound[targets[j:k]])
+                r, m = rows[r], targets[j + m]
+                good = (leads[m] < r) & (chunk[r] != m)
+                if good.any():
+                    waiting.append((r[good], m[good]))
+            if sum(len(x) for x, _ in waiting) > GATHERED:
+                compare(waiting)
+                waiting = []
+        if waiting:
+            compare(waiting)
+    later = np.flatnonzero(first < np.arange(n))
+    pairs = np.stack([np.concatenate(links[::2]), np.concatenate(links[1::2])], 1) if links else np.zeros((0, 2), np.int64)
+    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], 1), axis=0)
+    return names[later], names[first[later]], pairs[:, 0], pairs[:, 1]
+
+
+def partners(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, rows: int | None = None) -> DataFrame:
+    """name and least, a name before it; or cluster and other, two clusters of `found`: both hold records that reach the threshold.
+
+    vectors has id, name (string, unique), kind and vector, and found has id and cluster. For each name that has a partner
+    before it the least of all partners is among its rows. Every two records of a kind are compared, or known to be too
+    far apart by the bounds of _least_partners(). The result doesn't depend on what `found` groups, the work does.
+    """
+    rows = rows or ROWS
+    bytes_of = F.octet_length("vector")
+    sizes = vectors.groupBy("kind", bytes_of.alias("bytes")).agg(F.count("*").alias("n")).where(F.col("n") > rows).collect()  # each has more than `rows`, so they are few
+    blocks, tasks = F.lit(1), vectors.sparkSession.sparkContext.defaultParallelism
+    for r in sizes:
+        parts = -(-r["n"] // rows)
+        tasks += 2 * parts * (parts + 1)
+        blocks = F.when(F.col("kind").eqNullSafe(F.lit(r["kind"])) & (bytes_of == r["bytes"]), parts).otherwise(blocks)
+    # a cluster lies in one block, so that it is one chunk; one that would fill a block is spread over all
+    large = found.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > rows // 8).select("cluster", F.lit(True).alias("large"))
+    if sizes:
+        found = found.join(F.broadcast(large), "cluster", "left")  # eight for each block at most
+        key = F.when(F.coalesce("large", F.lit(False)), F.col("id")).otherwise(F.col("cluster"))
+    else:
+        key = F.col("cluster")
+    placed = vectors.join(broadcast_if_small(found.select("id", "cluster", F.xxhash64(key).alias("key"))), "id").withColumn("blocks", blocks)
+    placed = placed.withColumn("block", F.pmod("key", F.col("blocks").cast("bigint")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = [F.col("kind"), bytes_of.alias("bytes"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")]
+    spread = placed.select(*group, (F.col("block") > F.col("other")).cast("int").alias("side"), "cluster", "name", "vector").repartition(tasks, "kind", "bytes", "a", "b")
+
+    def look(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group.column("name").cast(pa.binary())))
+        blobs = group.column("vector").combine_chunks()
+        offsets = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4)
+        v = np.frombuffer(blobs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<f4").reshape(len(blobs), -1)
+        side, cluster = group.column("side").to_numpy(), group.column("cluster").to_numpy()
+        if group.column("a")[0] != group.column("b")[0] and (side == side[0]).all():
+            later = least = one = other = np.zeros(0, np.int64)  # two blocks of which one is empty
+        else:
+            later, least, one, other = _least_partners(np.arange(len(v)), side, cluster, v, threshold)
+        none = [pa.nulls(len(one), pa.string())], [pa.nulls(len(later), pa.int64())]
+        text = group.column("name")
+        columns = [[*text.take(pa.array(later)).chunks, *none[0]], [*text.take(pa.array(least)).chunks, *none[0]], [*none[1], pa.array(one)], [*none[1], pa.array(other)]]
+        return pa.table([pa.chunked_array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["name", "least", "cluster", "other"])
+
+    return spread.groupBy("kind", "bytes", "a", "b").applyInArrow(look, "name string, least string, cluster bigint, other bigint")
+
+
+def _joined(links: DataFrame, work: Workspace) -> DataFrame | None:
+    """node and label (the least node that it is linked with, directly or not) for the nodes of links (cluster, other) that have a lesser one; None without links."""
+    label = None
+    for turn in range(64):  # of linked nodes half at least are gone after a turn
+        if not links.take(1):
+            return label if label is None else label.where("node <> label")
+        ends = links.select(F.col("cluster").alias("node"), F.col("other").alias("to")).unionByName(links.select(F.col("other").alias("node"), F.col("cluster").alias("to")))
+        least = ends.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to"))
+        roots = work.write(_roots(work.write(least, f"joined-{turn}-to"), work, f"joined-{turn}"), f"joined-{turn}-roots")
+        after = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("label").alias("after")), c, "left").withColumn(c, F.coalesce("after", c)).drop("after")
+        label = roots if label is None else work.write(after(label, "label"), f"joined-{turn}-labels")
+        links = work.write(after(after(links, "cluster"), "other").where("cluster <> other").distinct(), f"joined-{turn}-links")
+    raise RuntimeError("linked clusters don't end")
+
+
+def cluster(vectors: DataFrame, work: Workspace, threshold: float = THRESHOLD, levels: int = LEVELS, with_flow: bool = False) -> DataFrame:
+    """id and cluster (the id that stands for it), and with_flow: mass and flow, for every vector.
+
+    vectors has id, kind and vector as nearest() takes them. Vectors without a partner are clusters of themselves; two that
+    reach the threshold are in one cluster always. mass is how many records' flow ends in the record, on the last level on
+    which it is an attractor (0: on none), what the completion joins included; flow is what comes in to it in the first
+    matrix. RuntimeError if a level still merges after `levels` of them.
+    """
+    found, flow, masses = flowed(vectors, work, threshold, levels, with_flow)
+    met = partners(vectors.select("id", F.col("id").cast("string").alias("name"), "kind", "vector"), found, threshold)
+    joined = _joined(work.write(met.where("cluster is not null").select("cluster", "other").distinct(), "links"), work)
+    if joined is not None:
+        moved = found.join(broadcast_if_small(joined.select(F.col("node").alias("cluster"), "label")), "cluster", "left")
+        found = work.write(moved.select("id", F.coalesce("label", "cluster").alias("cluster")), "found-joined")
+        if with_flow:
+            masses.append(found.groupBy("cluster").agg(F.count("*").alias("mass")).where("mass > 1"))
     if not with_flow:
         return found
     union = masses[0]
@@ -314,7 +500,15 @@ def record_clusters(spark: SparkSession, sf_dir: str, with_flow: bool = False) -
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return record_clusters(spark, sf_dir).where("cluster_id < record_id").select("cluster_id", "record_id")
+    """The least record that each record belongs together with, where that is another one.
+
+    Where clusters are as stated, every two records of one belonging together, it is the least of the cluster.
+    """
+    work = Workspace(spark, "clusters")
+    vectors = numbered(valid_vectors(spark, sf_dir).where("profile_id is not null"), work)
+    met = partners(vectors.withColumnRenamed("record_id", "name"), flowed(vectors, work)[0])
+    least = met.where("name is not null").groupBy("name").agg(F.min("least").alias("cluster_id"))
+    return least.select("cluster_id", F.col("name").alias("record_id"))
 
 
 def p2_clusters(spark: SparkSession, sf_dir: str, typical: int = 3) -> DataFrame:

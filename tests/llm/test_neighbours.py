@@ -8,6 +8,7 @@ import os
 import numpy as np
 import pytest
 from conftest import duck, rows
+from pyspark.sql import functions as F
 
 from lodestrand.llm import clusters, embeddings, hnsw, neighbours
 from lodestrand.session import Workspace
@@ -274,3 +275,32 @@ def test_typical_records_have_the_strongest_flow(spark):
     for g in set(own.tolist()):
         part = got.loc[np.flatnonzero(own == g)]
         assert part["mass"].max() == (len(part) if len(part) > 1 else 0) and part["mass"].idxmax() in set(part["cluster"]) | {part.index[0]}
+
+
+@pytest.mark.parametrize("rows_of", [clusters.ROWS, 60])
+def test_p2_equals_its_sql_on_chains_and_wide_groups(spark, tmp_path, monkeypatch, rows_of):
+    """Records linked in chains, where a group's least record is no partner of all; pairs about the threshold; many names out of order."""
+    monkeypatch.setattr(clusters, "ROWS", rows_of)
+    r = np.random.default_rng(11)
+    turn = np.arange(90) * 0.3  # neighbours two places away reach 0.68, others don't
+    chain = np.stack([np.cos(turn), np.sin(turn)], 1) @ np.linalg.qr(r.standard_normal((12, 2)))[0].T
+    v = np.concatenate([unit(chain), unit(r.standard_normal((80, 12))), unit(np.ones((40, 12)) + 0.9 * r.standard_normal((40, 12)))])
+    names = [f"r{i:03d}" for i in r.permutation(len(v))]
+    references = [(n, "p" if i % 5 else "q", x.tolist()) for i, (n, x) in enumerate(zip(names, v))] + [("n1", None, v[0].tolist()), ("n2", None, v[0].tolist())]
+    shard = ("s", "p", 12, "float32le", "d", bytearray(v[0].astype("<f4").tobytes()), {"0": "i0"})
+    write(spark, str(tmp_path), [shard], [("i0", "r999", "p", ("s", 0, "d"), "b", "eligible")], references, [("r0", "e")])
+    assert rows(clusters.p2_found(spark, str(tmp_path))) == rows(duck(str(tmp_path)).execute(clusters.P2_SQL).df())
+
+
+@pytest.mark.parametrize("rows_of", [clusters.ROWS, 100])
+def test_links_that_the_levels_miss_are_completed(spark, monkeypatch, rows_of):
+    """Neighbour lists that hold a tenth of the links, or none: clusters are whole all the same."""
+    monkeypatch.setattr(clusters, "ROWS", rows_of)
+    v, own = grouped(20, 14, seed=12)
+    same = lambda labels: {tuple(np.flatnonzero(labels == x)) for x in set(labels.tolist())}
+    for tenths in (1, 0):
+        kept = lambda df: df.where(F.pmod(F.hash("src"), F.lit(10)) < tenths)  # noqa: B023, E731
+        monkeypatch.setattr(clusters, "nearest", lambda *a, then=None, **x: kept(neighbours.nearest(*a, **x)) if then is None else spark.createDataFrame([], then[1]))
+        got = clusters.cluster(frame(spark, v), Workspace(spark, "t"), 0.75, with_flow=True).toPandas().set_index("id")
+        assert same(got["cluster"].loc[range(len(v))].to_numpy()) == same(own)
+        assert got.groupby("cluster")["mass"].max().to_dict() == {c: n if n > 1 else 0 for c, n in got.groupby("cluster").size().items()}
